@@ -13,6 +13,12 @@ def _file_path() -> Column:
     return F.col("_metadata.file_path")
 
 
+def lang_and_split(path: Column) -> list[Column]:
+    """``lang`` and ``group`` from a path that ends in ``<lang>/<split>.tsv``."""
+    layout = r"([^/]+)/([^/]+)\.tsv$"
+    return [F.regexp_extract(path, layout, i).alias(name) for i, name in ((1, "lang"), (2, "group"))]
+
+
 def corpus(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Headerless corpus TSVs laid out as ``.../<lang>/<split>.tsv``, all in one scan.
 
@@ -24,11 +30,9 @@ def corpus(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         .option("sep", "\t").option("quote", "").option("encoding", "UTF-8")
         .csv(paths)
     )
-    layout = r"([^/]+)/([^/]+)\.tsv$"
     return raw.select(
         "*",
-        F.regexp_extract(_file_path(), layout, 1).alias("lang"),
-        F.regexp_extract(_file_path(), layout, 2).alias("group"),
+        *lang_and_split(_file_path()),
         # rows of one file split get growing ids and splits are numbered in file order
         F.monotonically_increasing_id().alias("seq"),
     )

@@ -432,7 +432,7 @@ ORACLE["report_dims"] = f"""with {RUNS} select distinct 'lang' as dim, lang as v
 union all select distinct 'group', "group" from report_runs"""
 
 ORACLE["report_chart"] = f"""with {RUNS}, bars as (
-  select {SETTING}, round(avg(wer) * 100, 2) as avg_wer, round(avg(cer) * 100, 2) as avg_cer from report_runs where "group" = 'test' group by {SETTING})
+  select {SETTING}, {two_digits('avg(wer) * 100')}::double as avg_wer, {two_digits('avg(cer) * 100')}::double as avg_cer from report_runs where "group" = 'test' group by {SETTING})
 select {SETTING}, model || ' (' || config || ') [' || coalesce(prompt_version, 'default') || '] [' || lang || ']' as label, avg_wer, avg_cer,
        avg_wer = min(avg_wer) over () as best_wer, avg_cer = min(avg_cer) over () as best_cer from bars"""
 

@@ -53,7 +53,7 @@ TERMINAL_STATES = (
 FENCED_BLOCK = r"(?s)```(?:prompt|text|markdown)?\n(.*?)\n```"
 PROPOSAL_SECTION = r"(?s)3\.\s*\*\*Optimized Prompt Proposal\*\*(.*)"
 ANY_FENCED_BLOCK = r"(?s)```(?:.*?)\n(.*?)\n```"
-PROMPT_SUFFIX = r"_prompt_v[^\.]+\.csv$"
+RESULT_SUFFIX = r"(?:_prompt_v[^\.]+)?\.csv$"
 VERSION_NUMBER = r"v(\d+)"
 
 # --- Prompt texts ---------------------------------------------------------------------------

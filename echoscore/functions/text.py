@@ -8,9 +8,16 @@ from pyspark.sql import Column, functions as F
 
 from echoscore import constants as K
 
-# White space as Unicode defines it plus the four ASCII separators, and the
+# White space as Unicode defines it plus the four ASCII separators (as a list for
+# trimming and as a class for patterns; an explicit class matches faster than (?U)\s), and the
 # punctuation code points that are newer than the JVM's Unicode tables.
-SPACE = r"[\s\x{1c}-\x{1f}]"
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+SPACE = (
+    r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
 NEW_PUNCTUATION = (
     r"\x{61d}\x{1b7d}-\x{1b7e}\x{2e53}-\x{2e5d}\x{10f86}-\x{10f89}\x{116b9}"
     r"\x{11b00}-\x{11b09}\x{11f43}-\x{11f4f}\x{12ff1}-\x{12ff2}"
@@ -19,12 +26,12 @@ NEW_PUNCTUATION = (
 
 def strip(c: Column) -> Column:
     """Remove white space (any kind, not only blanks) at both ends."""
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def collapse_spaces(c: Column) -> Column:
     """Turn every run of two or more white-space characters into one blank."""
-    return F.regexp_replace(c, rf"(?U){SPACE}{{2,}}", " ")
+    return F.regexp_replace(c, rf"{SPACE}{{2,}}", " ")
 
 
 def remove_punctuation(c: Column) -> Column:
@@ -153,12 +160,9 @@ def result_path(path: Column, prompt_version: Column) -> Column:
     Any older version suffix, and whatever followed it, goes first. Paths that are not .csv and
     jobs without a version keep their path.
     """
-    label = F.replace(prompt_version, F.lit(".txt"), F.lit(""))
-    base = F.regexp_replace(path, K.PROMPT_SUFFIX, ".csv")
-    suffix = F.concat(F.lit("_"), label, F.lit(".csv"))
-    moved = F.when(F.endswith(base, suffix), base).otherwise(
-        F.concat(F.regexp_replace(base, r"\.csv$", ""), suffix)
-    )
+    tail = F.concat(F.lit("_"), F.replace(prompt_version, F.lit(".txt"), F.lit("")))
+    stem = F.regexp_replace(path, K.RESULT_SUFFIX, "")
+    moved = F.concat(F.when(F.endswith(stem, tail), stem).otherwise(F.concat(stem, tail)), F.lit(".csv"))
     usable = (F.coalesce(prompt_version, F.lit("")) != "") & F.endswith(path, F.lit(".csv"))
     return F.when(usable, moved).otherwise(path)
 

@@ -40,10 +40,12 @@ def corpus_rates(df: DataFrame, keys: Sequence[str], strip_eot: bool = False, **
     Texts are scored where they are; only per-run integer sums are shuffled. Runs without any
     scoreable row do not appear.
     """
-    counted = with_edit_counts(df, strip_eot, **columns).where(F.col("ref_chars").isNotNull())
+    # blank references have NULL counts, which sums and counts skip; a filter on the counts would
+    # make Spark run the counting a second time below it
+    counted = with_edit_counts(df, strip_eot, **columns)
     sums = counted.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_scored"), *[F.sum(c).alias(c) for c in COUNTS]
-    )
+        F.count("ref_chars").alias("n_scored"), *[F.sum(c).alias(c) for c in COUNTS]
+    ).where(F.col("n_scored") > 0)
     return sums.select(
         *keys, "n_scored", *COUNTS,
         M.rate(F.col("word_edits"), F.col("ref_words")).alias("wer"),

@@ -11,7 +11,7 @@ from echoscore.functions import audio as A, responses as R, text as T
 from echoscore.operators import assets, errors, jobs, ranking, report, requests, responses, runs, samples, scoring, sync
 from echoscore.operators.indexing import chunked, sample_index
 from echoscore.plans import evaluate, standins as V
-from echoscore.sources.readers import table
+from echoscore.sources.readers import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,7 +37,8 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 @query
 def normalize_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.normalize(F.col("text")).alias("normalized"))
+    docs = spread(table(spark, d, "documents"), "doc_id")
+    return docs.select("doc_id", T.normalize(F.col("text")).alias("normalized"))
 
 
 @query

@@ -19,7 +19,7 @@ BUCKET = "bucket"
 def samples(spark: SparkSession, d: str) -> DataFrame:
     """documents + labels as labelled utterances; ``toxic`` marks clips that cannot be mixed."""
     split = F.when(F.col("n_chars") < 1000, "dev").when(F.col("n_chars") < 2500, "test").otherwise("train")
-    docs = table(spark, d, "documents").withColumn("group", split)
+    docs = spread(table(spark, d, "documents"), "doc_id").withColumn("group", split)
     path = F.concat(F.lit("/corpus/"), "lang", F.lit("/audio/"), "group", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".wav"))
     return docs.join(table(spark, d, "labels"), "doc_id", "left").select(
         F.col("doc_id").alias("id"), F.col("text").alias("transcription"), path.alias("file_path"), "lang", "group",
@@ -159,6 +159,7 @@ def response_lines(spark: SparkSession, d: str) -> DataFrame:
 def runs(spark: SparkSession, d: str) -> DataFrame:
     """orders + customer + nation as the run summary, metrics still text. One order is one run."""
     o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
+    o = spread(o, "o_orderkey")
     rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     version = (F.year("o_orderdate") - 1990).cast("string")
     lang = F.lower("n_name")

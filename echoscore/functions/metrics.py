@@ -38,22 +38,17 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     for item in a:
         where[item] = where.get(item, 0) | bit
         bit <<= 1
-    full, top = bit - 1, bit >> 1
-    up, down, distance = full, 0, len(a)
+    full = bit - 1
+    up, down = full, 0
     for item in b:
         match = where.get(item, 0)
         diagonal = (((match & up) + up) ^ up) | match | down
-        right_up = down | (full & ~(diagonal | up))
-        right_down = up & diagonal
-        if right_up & top:
-            distance += 1
-        elif right_down & top:
-            distance -= 1
-        right_up = (right_up << 1) | 1
-        vertical = match | down
-        up = ((right_down << 1) | ~(vertical | right_up)) & full
-        down = right_up & vertical
-    return distance
+        falling = (up & diagonal) << 1
+        rising = ((down | ~(diagonal | up)) << 1) | 1
+        up = (falling | ~(diagonal | rising)) & full
+        down = rising & diagonal
+    # the last column starts at len(b) and takes the remaining steps
+    return len(b) + up.bit_count() - (down & full).bit_count()
 
 
 _RUNS = re.compile(r"\s\s+")

@@ -39,7 +39,7 @@ def has_answer(line: Column) -> Column:
 
 def chunk_number(key: Column) -> Column:
     """The number in 'req-<number>' or 'req-<number>-<rest>'; NULL for any other key."""
-    return F.regexp_extract(key, r"\Areq-([^-]*)", 1).try_cast("int")
+    return F.regexp_extract(key, r"\Areq-([^-]*)", 1).try_cast("bigint")
 
 
 def boolean_list(answer: Column) -> Column:

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from echoscore import constants as K
 from echoscore.functions import responses as R, text as T
-from echoscore.operators.ranking import low_first, top_n
+from echoscore.operators.ranking import top_n
 from echoscore.operators.scoring import row_rates
 from echoscore.sources.schemas import CRITIQUE_FIELDS
+from echoscore.sources.stage import staged
 
 SETTING = ("lang", "group", "model", "config", "version_label")
 
@@ -18,14 +19,14 @@ SETTING = ("lang", "group", "model", "config", "version_label")
 def worst_cases(scored_texts: DataFrame, keys: Sequence[str], n: int = K.CRITIC_TOP_N, id_col: str = "id") -> DataFrame:
     """The n worst rows per run by cer, then wer, then id, numbered from 1, with their rates.
 
-    Rows are scored in place; only (run, id, rates) is ranked, and the texts are fetched for the
-    n winners per run.
+    Rows are scored in place and once; only (run, id, rates) is ranked. The n winners per run are
+    staged and fetch their texts.
     """
     unique = [*keys, id_col]
     rates = row_rates(scored_texts).select(*unique, "wer", "cer")
     order = [F.col("cer").desc_nulls_last(), F.col("wer").desc_nulls_last(), F.col(id_col)]
     winners = top_n(rates, keys, order, n, unique, rank="case_no")
-    return scored_texts.join(winners, unique)
+    return scored_texts.join(staged(winners, "worst-cases"), unique)
 
 
 def _block(heading: str, number: Column, lines: Sequence[tuple[str, Column]]) -> Column:

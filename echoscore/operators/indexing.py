@@ -8,12 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from echoscore import constants as K
 
-BUCKET_ROWS = 65_536
-
-
-def id_bucket(id_col: str = "id", rows: int = BUCKET_ROWS) -> Column:
-    """Bucket of a numeric id. Ids are unique per key group, so a bucket holds <= ``rows`` rows."""
-    return F.floor(F.col(id_col) / rows)
+def id_bucket(id_col: str = "id") -> Column:
+    """Bucket of a numeric id. Ids are unique per key group, so a bucket holds at most 65,536 rows."""
+    return F.shiftright(id_col, 16)
 
 
 def hash_bucket(c: str) -> Column:
@@ -70,6 +67,4 @@ def sample_index(df: DataFrame, name: str = "idx", **kwargs) -> DataFrame:
 
 def chunked(df: DataFrame, size: int = K.CHUNK_SIZE, idx: str = "idx") -> DataFrame:
     """Chunk number and place in the chunk from a global index."""
-    return df.withColumn("chunk_idx", F.floor(F.col(idx) / size).cast("int")).withColumn(
-        "pos", (F.col(idx) % size).cast("int")
-    )
+    return df.withColumn("chunk_idx", F.expr(f"{idx} div {size}")).withColumn("pos", (F.col(idx) % size).cast("int"))

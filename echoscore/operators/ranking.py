@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from echoscore.sources.stage import staged
+
 NAN = float("nan")
 
 
@@ -64,9 +66,9 @@ def top_n_wide(
 ) -> DataFrame:
     """``top_n`` for rows with long texts: rank the narrow columns, then fetch the winners.
 
-    Winners are at most n per key, so the second join normally becomes a broadcast once AQE has
-    seen its size; otherwise it is an ordinary join on ``unique``.
+    Winners are at most n per key and get staged, so the long rows are read once more and, while the
+    winners fit a broadcast, never shuffled or sorted.
     """
     narrow = df.select(*dict.fromkeys([*keys, *order_cols, *unique]))
     winners = top_n(narrow, keys, order, n, unique, rank).select(*unique, rank)
-    return df.join(winners, list(unique))
+    return df.join(staged(winners, "winners"), list(unique))

@@ -11,6 +11,7 @@ from echoscore.functions import text as T
 from echoscore.operators.ranking import text_key, top_n
 from echoscore.operators.runs import RUN_KEY, best_run_per_group_lang, in_view
 from echoscore.operators.scoring import row_rates
+from echoscore.sources.stage import staged
 
 
 def summary_sorted(runs: DataFrame) -> DataFrame:
@@ -48,13 +49,12 @@ def chart(runs: DataFrame, lang: str = "all", group: str = "all") -> DataFrame:
         if wanted == "all":
             label = F.concat(label, F.lit(" ["), column, F.lit("]"))
     lowest = bars.agg(
-        F.min(F.when(~F.isnan("avg_wer"), F.col("avg_wer"))).alias("w"),
-        F.min(F.when(~F.isnan("avg_cer"), F.col("avg_cer"))).alias("c"),
-    )
+        F.struct(*[F.min(F.when(~F.isnan(c), F.col(c))).alias(c) for c in ("avg_wer", "avg_cer")])
+    ).scalar()
     return bars.select(
         *RUN_KEY, label.alias("label"), "avg_wer", "avg_cer",
-        (F.col("avg_wer") == lowest.select("w").scalar()).alias("best_wer"),
-        (F.col("avg_cer") == lowest.select("c").scalar()).alias("best_cer"),
+        (F.col("avg_wer") == lowest["avg_wer"]).alias("best_wer"),
+        (F.col("avg_cer") == lowest["avg_cer"]).alias("best_cer"),
     )
 
 
@@ -94,12 +94,11 @@ def detail(best: DataFrame, rows: DataFrame, n: int = K.REPORT_DETAIL_ROWS) -> D
     ``best`` has (lang, group, result_path), ``rows`` the scored files as (result_path, id,
     transcription, prediction). Only the n rows per file are scored.
     """
-    wanted = best.select(F.col("lang").alias("_l"), F.col("group").alias("_g"), "result_path").where(
-        "result_path IS NOT NULL"
-    )
+    wanted = best.select(F.col("lang").alias("_l"), F.col("group").alias("_g"), "result_path")
+    wanted = staged(wanted.where("result_path IS NOT NULL"), "best-runs")
     narrow = rows.select("result_path", "id").join(wanted.select("result_path").distinct(), "result_path", "left_semi")
     first = top_n(narrow, ["result_path"], [F.col("id")], n, ["result_path", "id"], rank="row_no")
-    picked = rows.join(first, ["result_path", "id"]).join(wanted, "result_path")
+    picked = rows.join(staged(first, "first-rows"), ["result_path", "id"]).join(wanted, "result_path")
     shown = picked.where(T.normalize(F.col("transcription")) != "")
     scored = row_rates(shown)
     return scored.select(

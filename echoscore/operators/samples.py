@@ -8,6 +8,7 @@ from echoscore import constants as K
 from echoscore.functions import text as T
 from echoscore.operators.indexing import global_index, hash_bucket, sample_index
 from echoscore.operators.ranking import first_row, top_n
+from echoscore.sources.stage import staged
 
 
 def corpus_samples(raw: DataFrame, base_path: str) -> DataFrame:
@@ -31,7 +32,7 @@ def _first_labelled(samples: DataFrame, n: int, valid: Column | None) -> DataFra
     """The first n usable labelled samples per language, with rank (0-based) and index.
 
     The index counts every labelled sample, the rank only the usable ones. Ranking and indexing
-    touch (lang, group, id) only; texts and paths are fetched for the winners.
+    touch (lang, group, id) only; texts and paths are fetched for the winners, at most n per language.
     """
     labelled = labelled_only(samples)
     usable = labelled if valid is None else labelled.where(valid)
@@ -39,8 +40,10 @@ def _first_labelled(samples: DataFrame, n: int, valid: Column | None) -> DataFra
     first = top_n(
         usable.select(*keys), ["lang"], [F.col("group"), F.col("id")], n, keys, rank="_rank"
     ).select(*keys, (F.col("_rank") - 1).alias("rank"))
+    first = staged(first, "first-labelled")
     index = sample_index(labelled.select(*keys), only=first.select(*keys), only_on=keys)
-    return labelled.join(first.join(index, keys), keys)
+    # the staged winners reduce the wide rows first; the join with the index is then a small one
+    return labelled.join(first, keys).join(index, keys)
 
 
 def pick_noise(rows: DataFrame, noise: DataFrame, seed: int = 0) -> DataFrame:

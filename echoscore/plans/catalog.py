@@ -12,6 +12,7 @@ from echoscore.operators import assets, errors, jobs, ranking, report, requests,
 from echoscore.operators.indexing import chunked, sample_index
 from echoscore.plans import evaluate, standins as V
 from echoscore.sources.readers import spread, table
+from echoscore.sources.stage import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -224,7 +225,7 @@ def job_grid(spark, d):
 def _planned(spark, d):
     noisy = samples.noise_plan(V.samples(spark, d), V.noise_clips(spark, d), AUDIO_DIR, valid=~F.col("toxic"))
     silence = samples.silence_plan(V.samples(spark, d), SILENCE_DIR)
-    return noisy, silence
+    return staged(noisy.drop("transcription"), "noisy"), staged(silence.drop("transcription"), "silence")
 
 
 @query

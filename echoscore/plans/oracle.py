@@ -50,7 +50,7 @@ SAMPLES = """samples as (
   left join labels using (doc_id))"""
 
 CHUNKED = SAMPLES + """, chunked as (
-  select *, cast(floor(idx / 50) as integer) as chunk_idx, cast(idx % 50 as integer) as pos
+  select *, idx // 50 as chunk_idx, cast(idx % 50 as integer) as pos
   from (select *, row_number() over (order by lang, "group", id) - 1 as idx from samples))"""
 
 CHUNK_LABELS = CHUNKED + """, chunk_labels as (

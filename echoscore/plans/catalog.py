@@ -11,8 +11,11 @@ from echoscore.functions import audio as A, responses as R, text as T
 from echoscore.operators import assets, errors, jobs, ranking, report, requests, responses, runs, samples, scoring, sync
 from echoscore.operators.indexing import chunked, sample_index
 from echoscore.plans import evaluate, standins as V
+from echoscore.session import shared_folder
+from echoscore.sources import sinks
 from echoscore.sources.readers import spread, table
 from echoscore.sources.stage import staged
+from echoscore.streaming import scoring as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -324,6 +327,19 @@ def incremental_runs(spark, d):
     return runs.pending_jobs(log, done).select("run_seq", "lang", "group", "local_inference_csv_path")
 
 
+@query
+def stream_scores(spark, d):
+    """Two waves of response files, streamed one after the other; later answers replace earlier ones."""
+    base = shared_folder(spark, "stream")
+    expected = V.transcripts(spark, d).select("job_id", "gcs_uri", "id", "transcription")
+    lines = V.response_lines(spark, d)
+    for wave in (1, 2):
+        sinks.requests(lines.where(F.col("seq") == wave), f"{base}/landing/wave={wave}", line_col="raw", files_per_job=2)
+        scored = streaming.scored_stream(streaming.response_stream(spark, f"{base}/landing"), expected)
+        streaming.start(scored, f"{base}/scores", f"{base}/progress").awaitTermination()
+    return _rounded(streaming.current_summary(spark, f"{base}/scores", expected), "wer", "cer")
+
+
 # --- run selection --------------------------------------------------------------------------
 
 RUN_OUT = ["run_seq", "lang", "group", "model", "config", "prompt_version", "wer", "cer"]

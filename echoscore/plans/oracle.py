@@ -312,6 +312,12 @@ ORACLE["run_progress"] = f"""with {TRANSCRIPTS}
 select job_id, count(*) as n_expected, count(distinct case when "group" <> 'silence' then gcs_uri end) as n_received,
        count(distinct case when "group" <> 'silence' then gcs_uri end) >= count(*) as complete from transcripts group by job_id"""
 
+ORACLE["stream_scores"] = CORPUS_SCORED + """
+select job_id, count(*) as n_scored, round(sum(word_edits)::double / sum(ref_words)::double, 6) as wer,
+  round(sum(char_edits)::double / sum(ref_chars)::double, 6) as cer, count(*) as n_expected, count(distinct gcs_uri) as n_received,
+  true as complete
+from scored where ref_chars is not null and "group" <> 'silence' group by job_id"""
+
 _LOG = f"""with {RUNS}, log as (
   select run_seq, lang, "group", prompt_version, case when prompt_version is null
     then '/results/run_' || run_seq || case when "group" = 'silence' then '_prompt_v1_silence' else '' end || '.csv'

@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def requests(df: DataFrame, folder: str, job_col: str = "job_id", line_col: str = "line") -> None:
-    """Request lines as JSONL below one folder per job."""
-    df.select(job_col, F.col(line_col).alias("value")).write.partitionBy(job_col).text(folder)
+def requests(
+    df: DataFrame, folder: str, job_col: str = "job_id", line_col: str = "line", files_per_job: int = 8
+) -> None:
+    """Request lines as JSONL below one folder per job.
+
+    Each job is spread over ``files_per_job`` tasks and files, however many lines it has.
+    """
+    lines = df.select(job_col, F.col(line_col).alias("value"))
+    part = F.pmod(F.xxhash64("value"), F.lit(files_per_job))
+    lines.repartition(job_col, part).write.partitionBy(job_col).text(folder)
 
 
 def csv(df: DataFrame, folder: str) -> None:

@@ -1,0 +1,119 @@
+import math
+
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from echoscore.functions.metrics import edit_distance
+from echoscore.operators import scoring
+
+
+def table_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+texts = st.text(alphabet="abcé世", max_size=80)
+
+
+@settings(max_examples=400, deadline=None)
+@given(texts, texts)
+def test_distance_is_the_table_distance(a, b):
+    d = edit_distance(a, b)
+    assert d == table_distance(a, b) == edit_distance(b, a)
+    assert (d == 0) == (a == b)
+    assert abs(len(a) - len(b)) <= d <= max(len(a), len(b))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["the", "cat", "sat", "on"]), max_size=150), st.lists(st.sampled_from(["the", "cat", "mat"]), max_size=150))
+def test_distance_of_word_lists(a, b):
+    assert edit_distance(a, b) == table_distance(a, b)
+
+
+def test_long_texts_are_scored_whole():
+    a = "abcdefghij" * 3000
+    b = a.replace("e", "x")
+    assert edit_distance(a, b) == 3000
+
+
+ROWS = [
+    # id, transcription, prediction, (word edits, ref words, char edits, ref chars) with the mark removed
+    (1, "Hello, world!", "hello world", (0, 2, 0, 11)),
+    (2, "one two three", "", (3, 3, 13, 13)),
+    (3, "one two", "[EOT]", (2, 2, 7, 7)),
+    (4, "one", "one two three", (2, 1, 10, 3)),
+    (5, "10-60", "1060", (0, 1, 0, 4)),
+    (6, "a b", "a\nb", (2, 2, 1, 3)),
+    (7, "...", "anything", None),
+    (8, None, "anything", None),
+    (9, "   ", None, None),
+    (10, "one two", None, (2, 2, 7, 7)),
+    (11, "one two [x]", "one two x [EOT]", (0, 3, 0, 9)),
+    (12, "你好", "你们好", (1, 1, 1, 2)),
+    (13, "𝒳y", "y", (1, 1, 1, 2)),
+    (14, "क़", "क़", (1, 1, 2, 1)),
+]
+
+
+@pytest.fixture(scope="module")
+def pairs(spark):
+    return spark.createDataFrame([(i, "run", t, p) for i, t, p, _ in ROWS], "id long, run string, transcription string, prediction string")
+
+
+def test_row_counts_and_rates(pairs):
+    got = {r.id: r for r in scoring.with_edit_counts(pairs, strip_eot=True).collect()}
+    rates = {r.id: r for r in scoring.row_rates(pairs).collect()}
+    for i, _, _, expected in ROWS:
+        counts = tuple(got[i][c] for c in scoring.COUNTS)
+        if expected is None:
+            assert counts == (None,) * 4 and (rates[i].wer, rates[i].cer) == (0.0, 0.0)
+        else:
+            assert counts == expected, i
+            assert math.isclose(rates[i].wer, expected[0] / expected[1])
+            assert math.isclose(rates[i].cer, expected[2] / expected[3])
+
+
+def test_rates_may_exceed_one(pairs):
+    assert scoring.row_rates(pairs.where("id = 4")).first().wer == 2.0
+
+
+def test_corpus_rate_is_summed_edits_over_summed_lengths(pairs):
+    counted = [r for r in scoring.with_edit_counts(pairs, strip_eot=False).collect() if r.ref_chars]
+    run = scoring.corpus_rates(pairs, ["run"]).first()
+    assert run.n_scored == len(counted) == 11
+    assert math.isclose(run.wer, sum(r.word_edits for r in counted) / sum(r.ref_words for r in counted))
+    assert math.isclose(run.cer, sum(r.char_edits for r in counted) / sum(r.ref_chars for r in counted))
+
+
+def test_corpus_scoring_keeps_the_end_mark(pairs):
+    only = pairs.where("id = 3")
+    assert scoring.corpus_rates(only, ["run"], strip_eot=False).first().word_edits == 2
+    kept = pairs.where("id = 11")
+    assert scoring.corpus_rates(kept, ["run"], strip_eot=False).first().word_edits == 1
+    assert scoring.corpus_rates(kept, ["run"], strip_eot=True).first().word_edits == 0
+
+
+def test_run_without_scoreable_rows_is_absent(pairs):
+    assert scoring.corpus_rates(pairs.where("id in (7, 8, 9)"), ["run"]).count() == 0
+
+
+def test_word_separator(pairs, spark):
+    df = spark.createDataFrame([("a|b|c", "a|x|c")], "transcription string, prediction string")
+    df = df.selectExpr("replace(transcription, '|', '^') transcription", "replace(prediction, '|', '^') prediction")
+    got = scoring.with_edit_counts(df, True, word_sep="^").first()
+    assert (got.word_edits, got.ref_words) == (1, 3)
+
+
+def test_counting_runs_once_per_row(pairs):
+    plan = scoring.corpus_rates(pairs, ["run"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_eval_counts(pairs):
+    r = scoring.eval_counts(pairs.na.fill({"prediction": ""}), ["run"]).first()
+    assert (r.n_rows, r.n_predicted, r.n_scoreable) == (14, 11, 11)

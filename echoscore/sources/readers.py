@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from echoscore.functions.text import url_unquote
 from echoscore.sources import schemas as S
 
 
 def _file_path() -> Column:
-    return F.col("_metadata.file_path")
+    """The row's file; Spark reports it as an encoded URI."""
+    return url_unquote(F.col("_metadata.file_path"))
 
 
 def lang_and_split(path: Column) -> list[Column]:
@@ -72,44 +74,38 @@ def json_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _json_arrays(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    return (
-        spark.read.schema(S.JOB_LOG + ", _corrupt_record string")
-        .option("multiLine", True).option("mode", "PERMISSIVE")
-        .json(paths)
-        .select(
-            "*", _file_path().alias("log_file"),
-            F.col("_metadata.file_modification_time").alias("log_time"),
-        )
-    )
-
-
 def job_logs(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Job records of JSON-array logs; files that do not parse contribute nothing.
 
     ``kind`` tells silence runs apart, whatever the log file is called.
     """
-    good = _json_arrays(spark, paths).where("_corrupt_record IS NULL").drop("_corrupt_record")
+    rows = (
+        spark.read.schema(S.JOB_LOG + ", _corrupt_record string")
+        .option("multiLine", True).option("mode", "PERMISSIVE")
+        .json(paths)
+        .select("*", _file_path().alias("log_file"), F.col("_metadata.file_modification_time").alias("log_time"))
+    )
+    good = rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
     kind = F.when(F.col("group") == "silence", "silence").otherwise("normal")
     return good.withColumn("submitted_at", F.col("submitted_at").try_cast("timestamp")).withColumn("kind", kind)
 
 
 def broken_job_logs(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """The files ``job_logs`` left out: (log_file, content)."""
-    bad = _json_arrays(spark, paths).where("_corrupt_record IS NOT NULL")
-    return bad.select("log_file", F.col("_corrupt_record").alias("content"))
+    files = spark.read.text(paths, wholetext=True).select(_file_path().alias("log_file"), F.col("value").alias("content"))
+    return files.where(F.try_parse_json("content").isNull())
 
 
 def prompts(spark: SparkSession, folder: str, suffix: str = ".txt") -> DataFrame:
-    """Prompt files of one folder as whole texts: (prompt_version, text)."""
+    """Prompt files of one folder as whole texts: (prompt_version, text). Empty files give no row."""
     return (
-        spark.read.option("wholetext", True).option("pathGlobFilter", f"*{suffix}").text(folder)
+        spark.read.option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True)
         .select(F.col("_metadata.file_name").alias("prompt_version"), F.col("value").alias("text"))
     )
 
 
 def file_listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """Files below a folder without reading them: (path, length)."""
+    """Files below a folder without reading them: (path, length). Empty files are left out by Spark."""
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob).option("recursiveFileLookup", True)

@@ -24,7 +24,7 @@ SCORES = (
 
 def response_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """New ``*.jsonl``/``*.txt`` lines below ``.../job_id=<job>/``: (job_id, arrived, file, raw)."""
-    path = F.col("_metadata.file_path")
+    path = T.url_unquote(F.col("_metadata.file_path"))  # reported as an encoded URI
     return (
         spark.readStream.format("text")
         .option("recursiveFileLookup", True)
@@ -32,6 +32,7 @@ def response_stream(spark: SparkSession, folder: str, files_per_batch: int = 100
         .option("maxFilesPerTrigger", files_per_batch)
         .load(folder)
         .select(
+            # folder names of partitions have their special characters escaped once more
             T.url_unquote(F.regexp_extract(path, r"/job_id=([^/]+)/", 1)).alias("job_id"),
             F.col("_metadata.file_modification_time").alias("arrived"), path.alias("file"), F.col("value").alias("raw"),
         )

@@ -72,11 +72,17 @@ def best_flags(runs: DataFrame, views: Sequence[str]) -> DataFrame:
     )
 
 
-def locate_results(runs: DataFrame, files: DataFrame, alt_files: DataFrame) -> DataFrame:
+def locate_results(
+    runs: DataFrame, files: DataFrame, alt_files: DataFrame, base: str | None = None
+) -> DataFrame:
     """Add ``result_path``: the run's own path if listed, else the same file name in ``alt_files``.
 
-    Listings have a ``path`` column; NULL means neither has the file.
+    Listings have a ``path`` column; NULL means neither has the file. Relative paths of runs start
+    at ``base`` when it is given.
     """
+    if base is not None:
+        path = T.absolute_path(F.col("local_inference_csv_path"), base)
+        runs = runs.withColumn("local_inference_csv_path", path)
     own = files.select(F.col("path").alias("local_inference_csv_path"), F.col("path").alias("_own"))
     alt = alt_files.select(T.basename(F.col("path")).alias("_name"), F.col("path").alias("_alt"))
     return (

@@ -66,7 +66,7 @@ def evaluation_summary(spark, d):
     turns = V.turns(spark, d)
     noisy = turns.where(F.col("group") != "silence").withColumnRenamed("group", "group_name")
     silence = turns.where(F.col("group") == "silence")
-    jobs_ = V.jobs(spark, d)
+    jobs_ = staged(V.jobs(spark, d), "jobs")
     done = jobs_.where(F.col("lang") == "es").select(F.col("local_output_csv").alias("path"), "prompt_version")
     done = done.select(T.result_path(F.col("path"), F.col("prompt_version")).alias("local_inference_csv_path"))
     summary = evaluate.run_summary(jobs_, done, noisy, silence, V.response_lines(spark, d))

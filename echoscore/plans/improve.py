@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from echoscore import constants as K
 from echoscore.functions import text as T
 from echoscore.operators import errors as E, runs as R
+from echoscore.sources.stage import staged
 
 RUN = ("run_seq",)
 
 
-def critic_request_table(runs: DataFrame, rows: DataFrame, top_n: int = K.CRITIC_TOP_N) -> DataFrame:
+def _path(base: str) -> Column:
+    return T.absolute_path(F.col("local_inference_csv_path"), base)
+
+
+def critic_request_table(
+    runs: DataFrame, rows: DataFrame, top_n: int = K.CRITIC_TOP_N, base: str = "/"
+) -> DataFrame:
     """One critic prompt per latest training run.
 
     ``rows`` are scored files as (path, id, transcription, prediction [, noisy_output_path]); runs
-    whose file is missing drop out.
+    whose file is missing drop out. Relative paths of runs start at ``base``.
     """
-    train = R.training_runs(runs).withColumn("path", F.col("local_inference_csv_path"))
+    train = R.training_runs(runs).withColumn("path", _path(base))
     texts = _cases(train, rows, top_n)
     return E.critic_requests(train.join(texts, list(RUN)), top_n)
 
@@ -30,12 +37,12 @@ def _cases(runs: DataFrame, rows: DataFrame, top_n: int) -> DataFrame:
 
 def rewrite_request_table(
     runs: DataFrame, rows: DataFrame, exact: DataFrame, general: DataFrame, main_prompts: DataFrame,
-    modified_prompts: DataFrame, template: str, top_n: int = K.OPTIMISER_TOP_N,
+    modified_prompts: DataFrame, template: str, top_n: int = K.OPTIMISER_TOP_N, base: str = "/",
 ) -> DataFrame:
     """One prompt-rewrite request per language whose best test run has a training run."""
     best = R.best_run_per_lang(runs)
     train = R.train_run_of_best(best, runs).withColumnRenamed("train_run_seq", "run_seq")
-    train = train.withColumn("path", F.col("local_inference_csv_path")).withColumn("group", F.lit("train"))
+    train = staged(train.withColumn("path", _path(base)).withColumn("group", F.lit("train")), "train-of-best")
     train = train.withColumn("version_label", T.version_label(F.col("prompt_version")))
     cases = _cases(train, rows, top_n)
     critiques = E.critiques_for_runs(train, exact, general).where("critic_source <> 'none'")

@@ -24,8 +24,9 @@ def lang_and_split(path: Column) -> list[Column]:
 def corpus(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Headerless corpus TSVs laid out as ``.../<lang>/<split>.tsv``, all in one scan.
 
-    Adds ``lang`` and ``group`` from the path and ``seq``, the row's place in its file. Quoting is
-    off: transcripts may hold any character but the tab.
+    Adds ``lang`` and ``group`` from the path and ``seq``, the row's place in its file: the offset of
+    the file split it came from, then an id that grows inside a split. Quoting is off: transcripts
+    may hold any character but the tab.
     """
     raw = (
         spark.read.schema(S.CORPUS)
@@ -35,8 +36,9 @@ def corpus(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return raw.select(
         "*",
         *lang_and_split(_file_path()),
-        # rows of one file split get growing ids and splits are numbered in file order
-        F.monotonically_increasing_id().alias("seq"),
+        F.struct(
+            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+        ).alias("seq"),
     )
 
 

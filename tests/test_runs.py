@@ -135,6 +135,9 @@ def test_locate_results(spark):
     alt = spark.createDataFrame([("/alt/a.csv",), ("/alt/b.csv",)], "path string")
     got = {x.run_seq: x.result_path for x in report.locate_results(r, files, alt).collect()}
     assert got == {1: "/r/a.csv", 2: "/alt/b.csv", 3: None}
+    relative = r.withColumn("local_inference_csv_path", F.expr("substring(local_inference_csv_path, 4)"))
+    moved = report.locate_results(relative, files, alt, base="/r")
+    assert {x.run_seq: x.result_path for x in moved.collect()} == got
 
 
 def test_detail_cuts_before_it_drops_blank_references(spark):

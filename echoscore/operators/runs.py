@@ -106,10 +106,10 @@ def train_run_of_best(best: DataFrame, runs: DataFrame) -> DataFrame:
 
 def pending_jobs(jobs: DataFrame, summary: DataFrame) -> DataFrame:
     """Jobs with an output location whose normalised result path is not in the summary yet."""
-    path = T.result_path(F.col("local_output_csv"), F.col("prompt_version"))
-    todo = jobs.withColumn("local_inference_csv_path", path).where(
-        (F.coalesce("gcs_output_base_uri", F.lit("")) != "")
-        & (F.coalesce("local_inference_csv_path", F.lit("")) != "")
+    # normalising never empties a path, so the plain columns decide and can be pushed to the scan
+    located = jobs.where((F.col("gcs_output_base_uri") != "") & (F.col("local_output_csv") != ""))
+    todo = located.withColumn(
+        "local_inference_csv_path", T.result_path(F.col("local_output_csv"), F.col("prompt_version"))
     )
     done = summary.select("local_inference_csv_path").where("local_inference_csv_path IS NOT NULL")
     return todo.join(done, "local_inference_csv_path", "left_anti")

@@ -40,6 +40,8 @@ def test_white_space_is_the_one_of_str_strip(spark):
     got = {r.c: r.x for r in rows.select("c", T.strip(F.col("s")).alias("x")).collect()}
     assert all(got[c] == "x" for c in spaces)
     assert all(got[c] == c + "x" + c for c in others)
+    runs = rows.select("c", T.collapse_spaces(F.concat(F.lit("a"), "c", "c", F.lit("b"))).alias("x")).collect()
+    assert all((r.x == "a b") == (r.c in spaces) for r in runs)
 
 
 def test_punctuation_is_unicode_category_p(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -13,38 +13,63 @@ def id_bucket(id_col: str = "id") -> Column:
     return F.shiftright(id_col, 16)
 
 
+def id_bucket_parent(bucket: str) -> Column:
+    """Buckets of 2^24 neighbouring id buckets; a 64-bit id space has at most 2^24 of them."""
+    return F.shiftright(bucket, 24)
+
+
 def hash_bucket(c: str) -> Column:
     """One of 65,536 buckets that sort like the md5 of a text column."""
     return F.substring(F.md5(c), 1, 4)
 
 
+def _running(counts: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Add the sum of ``_n`` over all earlier rows of the same key."""
+    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn(name, F.coalesce(F.sum("_n").over(window), F.lit(0)))
+
+
+def _totals(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return counts.groupBy(*keys).agg(F.sum("_n").alias("_n"))
+
+
+def _bucket_offsets(counts: DataFrame, keys: Sequence[str], parent: Callable[[str], Column] | None) -> DataFrame:
+    """(keys, _bucket, _offset) from (keys, _bucket, _n): rows in front of each bucket.
+
+    Sums run inside parent buckets, over the parents, and over the key groups (few by nature:
+    language x split), so even ids scattered over 64 bits keep every sorted run bounded.
+    """
+    if parent is None:
+        offsets = _running(counts, keys, ["_bucket"], "_offset")
+    else:
+        nested = counts.withColumn("_parent", parent("_bucket"))
+        parents = _running(_totals(nested, [*keys, "_parent"]), keys, ["_parent"], "_base").drop("_n")
+        offsets = _running(nested, [*keys, "_parent"], ["_bucket"], "_inside").join(parents, [*keys, "_parent"])
+        offsets = offsets.withColumn("_offset", F.col("_inside") + F.col("_base"))
+    if keys:
+        starts = _running(_totals(counts, keys), [], keys, "_start").drop("_n")
+        offsets = offsets.join(starts, list(keys)).withColumn("_offset", F.col("_offset") + F.col("_start"))
+    return offsets.select(*keys, "_bucket", "_offset")
+
+
 def global_index(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column,
-    name: str = "idx", only: DataFrame | None = None, only_on: Sequence[str] = (),
+    parent: Callable[[str], Column] | None = None, name: str = "idx",
+    only: DataFrame | None = None, only_on: Sequence[str] = (),
 ) -> DataFrame:
     """Number all rows 0, 1, 2 ... by (keys, order) without ever sorting them in one task.
 
-    ``bucket`` must grow with ``order`` inside a key group and must bound its own size. Bucket
-    counts (one row per bucket) are summed up front; a row's number is its bucket's offset plus its
-    place in the bucket. Everything follows from the data, so a recomputed task gives the same
-    numbers and nothing needs to be cached between the passes.
+    ``bucket`` must grow with ``order`` inside a key group and must bound its own size; ``parent``
+    groups buckets the same way. Bucket counts (one row per bucket) are summed up front; a row's
+    number is its bucket's offset plus its place in the bucket. Everything follows from the data, so
+    a recomputed task gives the same numbers and nothing needs to be cached between the passes.
 
     ``only`` (rows that carry ``only_on`` and the bucket's input columns) restricts the output; then
     only the buckets it touches are sorted.
     """
-    df = df.withColumn("_bucket", bucket)
-    counts = df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.unboundedPreceding
-    inside = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(before, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    if keys:
-        # one row per key group: few by nature (language x split)
-        groups = counts.groupBy(*keys).agg(F.sum("_n").alias("_n"))
-        across = Window.orderBy(*keys).rowsBetween(before, -1)
-        starts = groups.select(*keys, F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_start"))
-        offsets = offsets.join(starts, list(keys)).withColumn("_offset", F.col("_offset") + F.col("_start"))
-    offsets = offsets.select(*keys, "_bucket", "_offset")
     on = [*keys, "_bucket"]
+    df = df.withColumn("_bucket", bucket)
+    offsets = _bucket_offsets(df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), keys, parent)
     if only is not None:
         wanted = only.withColumn("_bucket", bucket)
         df = df.join(wanted.select(*on).distinct(), on, "left_semi")
@@ -62,7 +87,7 @@ def global_index(
 
 def sample_index(df: DataFrame, name: str = "idx", **kwargs) -> DataFrame:
     """Place of each sample in (lang, group, id) order."""
-    return global_index(df, ["lang", "group"], ["id"], id_bucket("id"), name, **kwargs)
+    return global_index(df, ["lang", "group"], ["id"], id_bucket("id"), id_bucket_parent, name, **kwargs)
 
 
 def chunked(df: DataFrame, size: int = K.CHUNK_SIZE, idx: str = "idx") -> DataFrame:

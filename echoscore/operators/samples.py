@@ -48,7 +48,7 @@ def _first_labelled(samples: DataFrame, n: int, valid: Column | None) -> DataFra
 
 def pick_noise(rows: DataFrame, noise: DataFrame, seed: int = 0) -> DataFrame:
     """Give each row one noise clip, the same one in every run with the same seed."""
-    clips = global_index(noise.select("noise_id"), [], [F.md5("noise_id"), "noise_id"], hash_bucket("noise_id"), "_pick")
+    clips = global_index(noise.select("noise_id"), [], [F.md5("noise_id"), "noise_id"], hash_bucket("noise_id"), name="_pick")
     n_clips = noise.agg(F.count(F.lit(1))).scalar()
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
     draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")

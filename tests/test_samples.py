@@ -28,6 +28,14 @@ def test_global_index_equals_sorted_position(spark):
     assert got == {(x[3], x[4], x[0]): i for i, x in enumerate(by_position(rows))}
 
 
+def test_global_index_of_scattered_ids(spark):
+    r = random.Random(3)
+    ids = sorted({r.randrange(-(2**62), 2**62) for _ in range(500)} | {k << 40 for k in range(20)} | {-1, 0, 1})
+    df = spark.createDataFrame([("en", "dev" if i % 3 else "test", i) for i in ids], "lang string, `group` string, id long").repartition(5)
+    got = [(x.group, x.id) for x in sample_index(df).orderBy("idx").collect()]
+    assert got == sorted(("dev" if i % 3 else "test", i) for i in ids)
+
+
 def test_global_index_of_a_few_rows(spark):
     rows, df = make(spark)
     only = df.where("id % 7 = 0").select("lang", "group", "id")

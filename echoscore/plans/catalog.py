@@ -10,7 +10,7 @@ from echoscore import constants as K
 from echoscore.functions import audio as A, responses as R, text as T
 from echoscore.operators import assets, errors, jobs, ranking, report, requests, responses, runs, samples, scoring, sync
 from echoscore.operators.indexing import chunked, sample_index
-from echoscore.plans import evaluate, standins as V
+from echoscore.plans import evaluate, improve, standins as V
 from echoscore.session import shared_folder
 from echoscore.sources import sinks
 from echoscore.sources.readers import spread, table
@@ -470,6 +470,27 @@ def render_prompt(spark, d):
     return errors.rewrite_requests(rows, META_TEMPLATE).select("conv_id", "analysis_prompt")
 
 
+@query
+def rewrite_requests(spark, d):
+    """Scored runs -> best per language -> worst cases of its training run -> one filled meta prompt."""
+    t = V.transcripts(spark, d).withColumn("path", F.concat(F.lit("/results/evaluation_"), V.job_id(), F.lit(".csv")))
+    summary = scoring.corpus_rates(t, [*SETTING, "path"]).withColumnRenamed("path", "local_inference_csv_path")
+    seq = F.conv(F.substring(F.md5("local_inference_csv_path"), 1, 15), 16, 10).cast("long")
+    summary = staged(summary.withColumn("run_seq", seq), "summary")
+    rows = t.select("path", "id", "transcription", "prediction", F.col("gcs_uri").alias("noisy_output_path"))
+    key = F.col("n_regionkey")
+    lang = F.when(key == 0, "en").when(key == 1, "fr").when(key == 2, "de").otherwise("none")
+    name = F.col("n_name")
+    general = table(spark, d, "nation").select(
+        lang.alias("lang"), F.col("n_nationkey").cast("long").alias("critique_no"), name.alias("error_pattern"),
+        F.lit("all").alias("affected_cases"), name.alias("reason_for_failure"), name.alias("generalizable_improvement"),
+    )
+    exact, _ = V.critics(spark, d)
+    main, modified = V.prompt_folders(spark, d)
+    out = improve.rewrite_request_table(summary, rows, exact, general, main, modified, META_TEMPLATE)
+    return out.select("lang", "model", "config", "prompt_version", "analysis_prompt")
+
+
 @query
 def extract_fenced(spark, d):
     a = V.answers(spark, d).select("conv_id", "turn", F.col("role").alias("lang"), F.col("free").alias("answer"))

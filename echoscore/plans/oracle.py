@@ -169,6 +169,17 @@ RATES = """count(*) as n_scored, sum(word_edits)::bigint as word_edits, sum(ref_
   sum(char_edits)::bigint as char_edits, sum(ref_chars)::bigint as ref_chars,
   round(sum(word_edits)::double / sum(ref_words)::double, 6) as wer, round(sum(char_edits)::double / sum(ref_chars)::double, 6) as cer"""
 
+# runs are chosen by corpus rates (marks kept), rows are shown with row rates (marks removed)
+CORPUS_CER = f""", kept as materialized (
+  select k, {norm('prediction')} as h2 from texts),
+summary as (
+  select {SETTING}, sum(char_edits2)::double / sum(ref_chars) as cer from (
+    select scored.*, levenshtein(
+      array_to_string(list_transform(string_split(r, ''), lambda c: chr(32 + list_position(v2, c)::int)), ''),
+      array_to_string(list_transform(list_filter(string_split(h2, ''), lambda c: c <> ''), lambda c: chr(32 + list_position(v2, c)::int)), '')
+    ) as char_edits2 from (select scored.*, h2, list_distinct(string_split(r || h2, '')) as v2 from scored join kept using (k) where r <> '') scored)
+  group by {SETTING})"""
+
 RUNS = """raw_runs as (
   select *, '/results/evaluation_' || "group" || '_' || lang || '_' || model || '-' || config || '_'
             || coalesce(replace(prompt_version, '.txt', ''), 'default') || '.csv' as local_inference_csv_path
@@ -430,6 +441,41 @@ ORACLE["extract_fenced"] = f"""select 'prompt_v' || turn || '_' || role || '.txt
     when 'user' then '1. **Analysis**' || chr(10) || '3. **Optimized Prompt Proposal**' || chr(10) || ' ' || text
     else text end) as report_md5 from conversations"""
 
+# best test run per language, the worst 15 rows of its training run, the nation rows of the language as critiques
+ORACLE["rewrite_requests"] = ROW_SCORED + CORPUS_CER + f""",
+kept_words as (  -- a last word that matches nothing: best of inserting it and of putting it against a reference word
+  select k, 1 + min(case when i = len(rw) then e else e + len(rw) - 1 - i end) as word_edits2
+  from dist join tok using (k) where j = len(hw) group by k),
+word_rates as (
+  select lang, model, config, prompt_version, sum(word_edits2)::double / sum(ref_words)::double as wer
+  from scored join kept_words using (k) where "group" = 'test' group by lang, model, config, prompt_version),
+candidates as (
+  select *, ('0x' || substr(md5('/results/evaluation_test_' || lang || '_' || model || '-' || config || '_'
+                               || replace(prompt_version, '.txt', '') || '.csv'), 1, 15))::bigint as run_seq
+  from summary join word_rates using (lang, model, config, prompt_version) where "group" = 'test'),
+best as (
+  select * from (select *, row_number() over (partition by lang order by cer, wer, run_seq) as rn from candidates) where rn = 1),
+worst as (
+  select * from (
+    select scored.*, row_number() over (partition by lang order by scored.cer desc, scored.wer desc, id) as case_no
+    from scored join best using (lang, model, config, prompt_version) where scored."group" = 'train') where case_no <= 15),
+cases as (
+  select lang, model, config, prompt_version, string_agg('## Case ' || case_no || chr(10) || 'Ground Truth: ' || transcription || chr(10)
+    || 'Prediction:   ' || {no_end_mark('prediction')} || chr(10)
+    || 'WER: ' || {two_digits('wer')} || ', CER: ' || {two_digits('cer')} || chr(10)
+    || 'Audio File:   ' || string_split(gcs_uri, '/')[-1] || chr(10) || chr(10), '' order by case_no) as cases
+  from worst group by lang, model, config, prompt_version),
+critiques as (
+  select case n_regionkey when 0 then 'en' when 1 then 'fr' when 2 then 'de' else 'none' end as lang,
+    string_agg('## Critique ' || n_nationkey || chr(10) || 'Error Pattern: ' || n_name || chr(10) || 'Affected Cases: all' || chr(10)
+      || 'Reason for Failure: ' || n_name || chr(10) || 'Generalizable Improvement: ' || n_name || chr(10) || chr(10), '' order by n_nationkey) as critiques
+  from nation group by 1)
+select cases.lang, model, config, prompt_version,
+  'Model ' || model || ', config ' || config || ' {{keep this}}.' || chr(10) || '# Prompt' || chr(10)
+  || (select text from benchmark where item_id = 2) || chr(10) || '# Cases' || chr(10) || cases || chr(10)
+  || '# Critiques' || chr(10) || coalesce(critiques, '') || {quoted(K.PROMPT_BLOCK_REQUEST)} as analysis_prompt
+from cases left join critiques using (lang)"""
+
 # --- report ---------------------------------------------------------------------------------
 
 ORACLE["summary_sorted"] = f"with {RUNS} select {RUN_OUT}, local_inference_csv_path from report_runs"
@@ -445,16 +491,7 @@ select {SETTING}, model || ' (' || config || ') [' || coalesce(prompt_version, '
 ORACLE["report_flags"] = f"""with {RUNS} select {RUN_OUT}, wer = min(wer) over (partition by lang, "group") as best_wer,
   cer = min(cer) over (partition by lang, "group") as best_cer from report_runs"""
 
-# the report picks the best run by corpus rates (marks kept) and shows row rates (marks removed)
-ORACLE["report_detail"] = ROW_SCORED + f""", kept as materialized (
-  select k, {norm('prediction')} as h2 from texts),
-""" + """summary as (
-  select {s}, sum(char_edits2)::double / sum(ref_chars) as cer from (
-    select scored.*, levenshtein(
-      array_to_string(list_transform(string_split(r, ''), lambda c: chr(32 + list_position(v2, c)::int)), ''),
-      array_to_string(list_transform(list_filter(string_split(h2, ''), lambda c: c <> ''), lambda c: chr(32 + list_position(v2, c)::int)), '')
-    ) as char_edits2 from (select scored.*, h2, list_distinct(string_split(r || h2, '')) as v2 from scored join kept using (k) where r <> '') scored)
-  group by {s}),
+ORACLE["report_detail"] = ROW_SCORED + CORPUS_CER + """,
 best as (
   select * from (select *, row_number() over (partition by "group", lang order by cer, model, config, prompt_version) as rn from summary) where rn = 1),
 numbered as (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from echoscore import constants as K
 from echoscore.functions import text as T
@@ -72,12 +72,24 @@ def job_grid(
     )
 
 
+def languages(spark: SparkSession, names: Sequence[str] = K.LANGUAGES) -> DataFrame:
+    return spark.createDataFrame([(n,) for n in names], "lang string")
+
+
 def prompt_for_language(langs: DataFrame, version: str | None) -> DataFrame:
     """(lang, prompt_version): the per-language file of ``version``, or the shared file for None."""
     name = F.concat(F.lit(f"prompt_{version}_"), "lang", F.lit(".txt")) if version else F.lit(K.SHARED_PROMPT)
     return langs.select("lang", name.alias("prompt_version"))
 
 
+def job_records(jobs: DataFrame, submitted: DataFrame) -> DataFrame:
+    """Log records of the jobs that were accepted: ``submitted`` has (job_id, job_name)."""
+    return jobs.join(submitted, "job_id").select(
+        "lang", "group", "splitter", "model", "config_name", "job_name", "prompt_version", "gcs_output_base_uri",
+        "local_output_csv", F.date_format("submitted_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("submitted_at"),
+    )
+
+
 def with_prompt_text(jobs: DataFrame, prompts: DataFrame) -> DataFrame:
     """Add ``prompt_text`` with the language filled in; a job without prompt file is an error."""
     found = jobs.join(prompts.select("prompt_version", F.col("text").alias("_template")), "prompt_version", "left")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from echoscore import constants as K
 from echoscore.functions.text import url_unquote
 from echoscore.sources import schemas as S
 
@@ -21,6 +22,11 @@ def lang_and_split(path: Column) -> list[Column]:
     return [F.regexp_extract(path, layout, i).alias(name) for i, name in ((1, "lang"), (2, "group"))]
 
 
+def corpus_paths(base: str, langs: Sequence[str] = K.LANGUAGES, splits: Sequence[str] = K.SPLITS) -> list[str]:
+    """The corpus files of the given languages and splits."""
+    return [f"{base.rstrip('/')}/{lang}/{split}.tsv" for lang in langs for split in splits]
+
+
 def corpus(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Headerless corpus TSVs laid out as ``.../<lang>/<split>.tsv``, all in one scan.
 
@@ -76,18 +82,21 @@ def json_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def job_logs(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Job records of JSON-array logs; files that do not parse contribute nothing.
+def job_logs(spark: SparkSession, paths: str | Sequence[str], arrays: bool = True) -> DataFrame:
+    """Job records of JSON-array logs (``arrays=False``: JSON lines, as ``sinks.json`` writes them).
 
-    ``kind`` tells silence runs apart, whatever the log file is called.
+    What does not parse contributes nothing. ``kind`` tells silence runs apart, whatever the log file
+    is called.
     """
     rows = (
         spark.read.schema(S.JOB_LOG + ", _corrupt_record string")
-        .option("multiLine", True).option("mode", "PERMISSIVE")
-        .json(paths)
+        .option("mode", "PERMISSIVE")
+        .json(paths, multiLine=arrays)
         .select("*", _file_path().alias("log_file"), F.col("_metadata.file_modification_time").alias("log_time"))
     )
-    good = rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
+    # the second condition also keeps Spark from reading nothing but the error column
+    named = "lang IS NOT NULL OR job_name IS NOT NULL OR local_output_csv IS NOT NULL"
+    good = rows.where(f"_corrupt_record IS NULL AND ({named})").drop("_corrupt_record")
     kind = F.when(F.col("group") == "silence", "silence").otherwise("normal")
     return good.withColumn("submitted_at", F.col("submitted_at").try_cast("timestamp")).withColumn("kind", kind)
 

@@ -40,8 +40,13 @@ def response_stream(spark: SparkSession, folder: str, files_per_batch: int = 100
 
 
 def scored_stream(lines: DataFrame, expected: DataFrame, strip_eot: bool = False) -> DataFrame:
-    """Lines joined with the static request table (job_id, gcs_uri, id, transcription) and scored."""
+    """Lines joined with the static request table (job_id, gcs_uri, id, transcription) and scored.
+
+    Scoring a line costs far more than moving it, so lines are spread evenly first: files may be of
+    any size, and a URI with very many lines is divided by file.
+    """
     parsed = parse_responses(lines, keep=("job_id", "arrived", "file")).drop("key")
+    parsed = parsed.repartition("job_id", "gcs_uri", "file")
     wanted = expected.select("job_id", "gcs_uri", "id", "transcription")
     scored = with_edit_counts(parsed.join(wanted, ["job_id", "gcs_uri"]), strip_eot)
     return scored.select("job_id", "gcs_uri", "arrived", "file", "id", "prediction", *COUNTS)

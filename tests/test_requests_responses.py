@@ -36,6 +36,21 @@ def test_job_grid(spark):
     assert requests.prompt_for_language(langs, None).first().prompt_version == K.SHARED_PROMPT
 
 
+def test_default_grid_and_job_records(spark, tmp_path):
+    from echoscore.sources import readers, sinks
+
+    langs = requests.prompt_for_language(requests.languages(spark), "v3")
+    grid = requests.job_grid(langs, ["test"], ["m1", "m2", "m3"], "b", "/r", submitted_at=F.lit("2026-01-02 03:04:05.5").cast("timestamp"))
+    assert grid.count() == 81
+    accepted = grid.where("lang <> 'el_gr'").selectExpr("job_id", "concat('jobs/', job_id) job_name")
+    sinks.json(requests.job_records(grid, accepted), f"{tmp_path}/log")
+    back = readers.job_logs(spark, f"{tmp_path}/log", arrays=False)
+    assert back.count() == 72
+    r = back.where("lang = 'ja_jp' and model = 'm1' and config_name = 'default'").first()
+    assert (r.job_name, r.kind, r.splitter) == ("jobs/test_ja_jp_m1-default_prompt_v3_ja_jp", "normal", "test_ja_jp")
+    assert str(r.submitted_at) == "2026-01-02 03:04:05.500000"
+
+
 def test_prompt_text_and_missing_prompt(spark):
     jobs = spark.createDataFrame([("en", "prompt_v2.txt")], "lang string, prompt_version string")
     prompts = spark.createDataFrame([("prompt_v2.txt", "Say {language_code} {not this}")], "prompt_version string, text string")

@@ -22,7 +22,7 @@ def test_corpus_scan(spark, tmp_path):
         for split in ("dev", "test", "train"):
             rows = [f'{i}\t{i}_{k}.wav\traw\ttext "{lang} {k}\tw\t100\tMALE' for i in (7, 5) for k in (0, 1)]
             write(f"{tmp_path}/{lang}/{split}.tsv", "\n".join(rows) + "\n")
-    raw = readers.corpus(spark, f"{tmp_path}/*/*.tsv")
+    raw = readers.corpus(spark, readers.corpus_paths(f"{tmp_path}/", ["en_us", "ja_jp"]))
     assert raw.count() == 24 and raw.select("lang", "group").distinct().count() == 6
     got = samples.corpus_samples(raw, "/base")
     assert got.count() == 12 and got.columns == ["id", "transcription", "file_path", "lang", "group"]

@@ -58,5 +58,6 @@ def boolean_list(answer: Column) -> Column:
 
 
 def critique_list(answer: Column) -> Column:
-    """Answer text (fenced or bare) as an array of critique structs; NULL when broken."""
-    return F.from_json(strip_fence(answer), S.CRITIQUES)
+    """Answer text (fenced or bare) as an array of critique structs; NULL when it is no array."""
+    text = strip_fence(answer)  # from_json would accept a lone object as an array of one
+    return F.when(F.startswith(text, F.lit("[")), F.from_json(text, S.CRITIQUES))

@@ -14,6 +14,7 @@ from echoscore.plans import evaluate, improve, standins as V
 from echoscore.session import shared_folder
 from echoscore.sources import sinks
 from echoscore.sources.readers import spread, table
+from echoscore.sources.schemas import CRITIQUE_FIELDS
 from echoscore.sources.stage import staged
 from echoscore.streaming import scoring as streaming
 
@@ -416,25 +417,27 @@ def critic_prompt(spark, d):
 
 
 def _critique_answers(spark, d):
-    """One model answer per conversation: its turns as a fenced array of critiques."""
+    """One model answer per turn: a fenced array of two critiques holding the whole text."""
     c = table(spark, d, "conversations")
-    item = F.struct(
-        F.col("role").alias("error_pattern"), F.concat(F.lit("Case "), F.col("turn").cast("string")).alias("affected_cases"),
-        F.col("text").alias("reason_for_failure"), F.concat(F.lit("Keep: "), "text").alias("generalizable_improvement"),
-    )
-    packed = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", item.alias("item"))))["item"].alias("items"))
-    answer = F.concat(F.lit("```json\n"), F.to_json("items"), F.lit("\n```"))
-    return packed.select("conv_id", answer.alias("answer"))
+
+    def critique(*values):
+        return F.struct(*[v.alias(f) for f, v in zip(CRITIQUE_FIELDS, values)])
+
+    case = F.concat(F.lit("Case "), F.col("turn").cast("string"))
+    keep = F.concat(F.lit("Keep: "), "text")
+    items = F.array(critique(F.col("role"), case, F.col("text"), keep), critique(F.lit("Other"), F.lit("all"), F.md5("text"), F.col("text")))
+    answer = F.concat(F.lit("```json\n"), F.to_json(items), F.lit("\n```"))
+    return c.select("conv_id", "turn", answer.alias("answer"))
 
 
 @query
 def critic_rows(spark, d):
-    return errors.critic_rows(_critique_answers(spark, d), ["conv_id"])
+    return errors.critic_rows(_critique_answers(spark, d), ["conv_id", "turn"])
 
 
 @query
 def critique_text(spark, d):
-    return errors.critique_text(errors.critic_rows(_critique_answers(spark, d), ["conv_id"]), ["conv_id"])
+    return errors.critique_text(critic_rows(spark, d), ["conv_id", "turn"])
 
 
 @query
@@ -459,15 +462,12 @@ META_TEMPLATE = (
 
 @query
 def render_prompt(spark, d):
-    texts = errors.critique_text(errors.critic_rows(_critique_answers(spark, d), ["conv_id"]), ["conv_id"])
-    first = table(spark, d, "conversations").groupBy("conv_id").agg(
-        F.min_by(F.struct("role", "text"), "turn").alias("f"), F.max_by("text", "turn").alias("error_cases_text")
-    )
-    rows = texts.join(first, "conv_id").select(
-        "conv_id", F.col("f.role").alias("model"), F.lit("default").alias("config"),
-        F.concat(F.lit("{error_cases_text} "), F.col("f.text")).alias("used_prompt"), "error_cases_text", "critiques_text",
+    rows = table(spark, d, "conversations").join(critique_text(spark, d), ["conv_id", "turn"]).select(
+        "conv_id", "turn", F.col("role").alias("model"), F.lit("default").alias("config"),
+        F.concat(F.lit("{error_cases_text} "), "text").alias("used_prompt"),
+        F.concat(F.lit("Cases of "), "text").alias("error_cases_text"), "critiques_text",
     )
-    return errors.rewrite_requests(rows, META_TEMPLATE).select("conv_id", "analysis_prompt")
+    return errors.rewrite_requests(rows, META_TEMPLATE).select("conv_id", "turn", "analysis_prompt")
 
 
 @query

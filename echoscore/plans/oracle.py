@@ -394,14 +394,15 @@ ORACLE["critic_prompt"] = _cases(20) + f"""
 select {SETTING}, replace({quoted(_HEAD)}, '{{lang}}', lang) || error_cases_text || {quoted(_TAIL)} as prompt from cases"""
 
 _CRITIQUES = """critiques as (
-  select conv_id, row_number() over (partition by conv_id order by turn) as critique_no, role as error_pattern,
-         'Case ' || turn as affected_cases, text as reason_for_failure, 'Keep: ' || text as generalizable_improvement from conversations)"""
+  select conv_id, turn, 1 as critique_no, role as error_pattern, 'Case ' || turn as affected_cases, text as reason_for_failure,
+         'Keep: ' || text as generalizable_improvement from conversations
+  union all select conv_id, turn, 2, 'Other', 'all', md5(text), text from conversations)"""
 ORACLE["critic_rows"] = f"with {_CRITIQUES} select * from critiques"
 _CRITIQUE_TEXT = _CRITIQUES + """, critique_texts as (
-  select conv_id, string_agg('## Critique ' || critique_no || chr(10) || 'Error Pattern: ' || error_pattern || chr(10)
+  select conv_id, turn, string_agg('## Critique ' || critique_no || chr(10) || 'Error Pattern: ' || error_pattern || chr(10)
     || 'Affected Cases: ' || affected_cases || chr(10) || 'Reason for Failure: ' || reason_for_failure || chr(10)
     || 'Generalizable Improvement: ' || generalizable_improvement || chr(10) || chr(10), '' order by critique_no) as critiques_text
-  from critiques group by conv_id)"""
+  from critiques group by conv_id, turn)"""
 ORACLE["critique_text"] = f"with {_CRITIQUE_TEXT} select * from critique_texts"
 
 ORACLE["critic_fallback"] = f"""with {RUNS}, train as (
@@ -411,8 +412,8 @@ exact as (
          'pattern ' || run_seq as error_pattern, 'case ' || run_seq as affected_cases, model as reason_for_failure, config as generalizable_improvement
   from runs where "group" = 'train' and cer >= 0.4),
 general as (
-  select lower(n_name) as lang, s_suppkey as critique_no, s_name as error_pattern, 'all' as affected_cases, n_name as reason_for_failure,
-         s_suppkey::varchar as generalizable_improvement from supplier join nation on s_nationkey = n_nationkey),
+  select lower(n_name) as lang, n_nationkey as critique_no, n_name as error_pattern, 'all' as affected_cases, r_name as reason_for_failure,
+         'See ' || r_name as generalizable_improvement from nation join region on n_regionkey = r_regionkey),
 own as (select train.run_seq, 'run' as critic_source, exact.* exclude (lang, model, config, version_label)
         from train join exact using (lang, model, config, version_label))
 select * from own
@@ -425,14 +426,12 @@ modified as (select 'prompt_v4_' || lower(n_name) || '.txt' as prompt_version, '
 select run_seq, runs.prompt_version, coalesce(main.t, modified.t, (select t from main where prompt_version = 'prompt_v2.txt'), '{K.MISSING_PROMPT}') as used_prompt
 from runs left join main on runs.prompt_version = main.prompt_version left join modified on runs.prompt_version = modified.prompt_version"""
 
-ORACLE["render_prompt"] = f"""with {_CRITIQUE_TEXT}, firsts as (
-  select conv_id, arg_min(role, turn) as model, '{{error_cases_text}} ' || arg_min(text, turn) as used_prompt, arg_max(text, turn) as cases
-  from conversations group by conv_id)
-select conv_id, replace(replace(
-    'Model ' || model || ', config default {{keep this}}.' || chr(10) || '# Prompt' || chr(10) || used_prompt || chr(10)
+ORACLE["render_prompt"] = f"""with {_CRITIQUE_TEXT}
+select conv_id, turn, replace(replace(
+    'Model ' || role || ', config default {{keep this}}.' || chr(10) || '# Prompt' || chr(10) || '{{error_cases_text}} ' || text || chr(10)
     || '# Cases' || chr(10) || '{{error_cases_text}}' || chr(10) || '# Critiques' || chr(10) || '{{critiques_text}}',
-    '{{error_cases_text}}', cases), '{{critiques_text}}', critiques_text) || {quoted(K.PROMPT_BLOCK_REQUEST)} as analysis_prompt
-from critique_texts join firsts using (conv_id)"""
+    '{{error_cases_text}}', 'Cases of ' || text), '{{critiques_text}}', critiques_text) || {quoted(K.PROMPT_BLOCK_REQUEST)} as analysis_prompt
+from conversations join critique_texts using (conv_id, turn)"""
 
 ORACLE["extract_fenced"] = f"""select 'prompt_v' || turn || '_' || role || '.txt' as prompt_version, role as lang, {strip('text')} as text,
   md5(case role

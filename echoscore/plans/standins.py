@@ -178,7 +178,7 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def critics(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Critiques per setting (large training orders) and per language (suppliers of the nation)."""
+    """Critiques per setting (large training orders) and one per language (its nation and region)."""
     large = parse_metrics(runs(spark, d)).where((F.col("group") == "train") & (F.col("cer") >= 0.4))
     seq = F.col("run_seq").cast("string")
     exact = large.select(
@@ -187,11 +187,11 @@ def critics(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         F.concat(F.lit("case "), seq).alias("affected_cases"), F.col("model").alias("reason_for_failure"),
         F.col("config").alias("generalizable_improvement"),
     )
-    s, n = table(spark, d, "supplier"), table(spark, d, "nation")
-    general = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.lower("n_name").alias("lang"), F.col("s_suppkey").alias("critique_no"), F.col("s_name").alias("error_pattern"),
-        F.lit("all").alias("affected_cases"), F.col("n_name").alias("reason_for_failure"),
-        F.col("s_suppkey").cast("string").alias("generalizable_improvement"),
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    general = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.lower("n_name").alias("lang"), F.col("n_nationkey").cast("long").alias("critique_no"), F.col("n_name").alias("error_pattern"),
+        F.lit("all").alias("affected_cases"), F.col("r_name").alias("reason_for_failure"),
+        F.concat(F.lit("See "), "r_name").alias("generalizable_improvement"),
     )
     return exact, general
 

@@ -42,7 +42,7 @@ def test_critic_request_keeps_marks_inside_cases(spark):
 
 def test_critic_rows(spark):
     item = {f: f + "!" for f in CRITIQUE_FIELDS}
-    answers = [(1, json.dumps([item, {"error_pattern": "only"}])), (2, "```json\n[]\n```"), (3, "[{broken"), (4, "```json\n" + json.dumps([item]) + "\n```")]
+    answers = [(1, json.dumps([item, {"error_pattern": "only"}])), (2, "```json\n[]\n```"), (3, "[{broken"), (5, json.dumps(item)), (6, None), (4, "```json\n" + json.dumps([item]) + "\n```")]
     df = spark.createDataFrame(answers, "run long, answer string")
     got = {(r.run, r.critique_no): r for r in errors.critic_rows(df, ["run"]).collect()}
     assert set(got) == {(1, 1), (1, 2), (4, 1)}

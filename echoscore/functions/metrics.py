@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
+# The functions below travel inside the task, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 EDIT_COUNTS = "word_edits int, ref_words int, char_edits int, ref_chars int"
 
 

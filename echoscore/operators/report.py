@@ -32,6 +32,16 @@ def dimensions(runs: DataFrame) -> DataFrame:
     return runs.select(pairs.alias("p")).select("p.*").distinct()
 
 
+def _mean_percent(c: str) -> Column:
+    """Mean in percent with two decimals; NaN if any value is NaN.
+
+    Summed as decimals: a sum of doubles depends on the order of the partitions, and a last-digit
+    difference is enough to round the other way.
+    """
+    mean = F.sum(F.col(c).try_cast("decimal(28,15)")) / F.count(c)
+    return F.when(F.max(F.isnan(c)), float("nan")).otherwise(F.round(mean * 100, 2).cast("double"))
+
+
 def chart(runs: DataFrame, lang: str = "all", group: str = "all") -> DataFrame:
     """Mean wer and cer in percent per setting of a view, the bar label and the best-bar flags.
 
@@ -41,7 +51,7 @@ def chart(runs: DataFrame, lang: str = "all", group: str = "all") -> DataFrame:
     bars = (
         in_view(runs, lang, group)
         .groupBy(*RUN_KEY)
-        .agg(F.round(F.avg("wer") * 100, 2).alias("avg_wer"), F.round(F.avg("cer") * 100, 2).alias("avg_cer"))
+        .agg(_mean_percent("wer").alias("avg_wer"), _mean_percent("cer").alias("avg_cer"))
     )
     version = F.coalesce(T.first_filled(F.col("prompt_version")), F.lit(K.DEFAULT_LABEL))
     label = F.concat("model", F.lit(" ("), "config", F.lit(") ["), version, F.lit("]"))

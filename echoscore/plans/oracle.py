@@ -41,6 +41,11 @@ def two_digits(x: str) -> str:
     return f"cast(round(cast(cast({x} as varchar) as decimal(30,20)), 2) as decimal(18,2))"
 
 
+def mean_percent(x: str) -> str:
+    """Mean in percent, two decimals, ties up; in integers, as the metrics here have three decimals."""
+    return f"((20 * sum(round({x} * 1000)::bigint) + count(*)) // (2 * count(*)))::double / 100"
+
+
 # --- views ----------------------------------------------------------------------------------
 
 SAMPLES = """samples as (
@@ -483,7 +488,7 @@ ORACLE["report_dims"] = f"""with {RUNS} select distinct 'lang' as dim, lang as v
 union all select distinct 'group', "group" from report_runs"""
 
 ORACLE["report_chart"] = f"""with {RUNS}, bars as (
-  select {SETTING}, {two_digits('avg(wer) * 100')}::double as avg_wer, {two_digits('avg(cer) * 100')}::double as avg_cer from report_runs where "group" = 'test' group by {SETTING})
+  select {SETTING}, {mean_percent('wer')} as avg_wer, {mean_percent('cer')} as avg_cer from report_runs where "group" = 'test' group by {SETTING})
 select {SETTING}, model || ' (' || config || ') [' || coalesce(prompt_version, 'default') || '] [' || lang || ']' as label, avg_wer, avg_cer,
        avg_wer = min(avg_wer) over () as best_wer, avg_cer = min(avg_cer) over () as best_cer from bars"""
 

@@ -1,4 +1,7 @@
 import math
+import os
+import subprocess
+import sys
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -117,3 +120,20 @@ def test_counting_runs_once_per_row(pairs):
 def test_eval_counts(pairs):
     r = scoring.eval_counts(pairs.na.fill({"prediction": ""}), ["run"]).first()
     assert (r.n_rows, r.n_predicted, r.n_scoreable) == (14, 11, 11)
+
+
+def test_tasks_do_not_import_the_package(tmp_path):
+    """Workers start elsewhere and without the repository on their path."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from echoscore.session import build_session
+from echoscore.operators.scoring import row_rates
+spark = build_session("local[1]", spark__ui__enabled="false")
+df = spark.createDataFrame([("one two", "one too")], "transcription string, prediction string")
+print("wer", row_rates(df).first().wer)
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_HOME")}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "wer 0.5" in done.stdout, done.stderr[-2000:]

@@ -122,6 +122,15 @@ def test_chart(reported):
     assert any(r.label.endswith("[en] [silence]") for r in report.chart(reported).collect())
 
 
+def test_chart_means_are_exact(spark):
+    wers = [0.1, 0.2, 0.3, 0.05, 0.005, 0.105, 0.24] * 3 + [float("nan")]
+    rows = [(i, "en", "test", "m" if w == w else "nan", "c", None, w, w, "") for i, w in enumerate(wers)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("wer string, cer string", "wer double, cer double"))
+    for parts in (1, 5):
+        got = {r.model: r.avg_wer for r in report.chart(df.repartition(parts)).collect()}
+        assert got["m"] == 14.29 and got["nan"] != got["nan"]
+
+
 def test_flags_mark_all_ties(reported):
     got = {r.run_seq: (r.best_wer, r.best_cer) for r in report.best_flags(reported, ["lang", "group"]).collect()}
     assert [i for i in (1, 2, 3) if got[i][1]] == [1, 2, 3]

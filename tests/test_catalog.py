@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from echoscore.plans.catalog import QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
@@ -27,7 +28,7 @@ def comparable(rows):
     return sorted(tuple(repr(v + 0.0) if isinstance(v, float) else repr(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", list(entry_point.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, db, name):
     df = entry_point.queries()[name](spark, SF)
     columns = sorted(df.columns)
@@ -48,7 +49,7 @@ def test_scoring_runs_once(spark, name):
     assert plan(spark, name).count("ArrowEvalPython") == 1
 
 
-@pytest.mark.parametrize("name", list(entry_point.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_no_cartesian_plans(spark, name):
     text = plan(spark, name)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text

@@ -81,20 +81,21 @@ def set_key(values: np.ndarray) -> int | None:
 
 
 def _profiles(docs: DataFrame, width: int, sketch: int, full: bool) -> DataFrame:
-    """(id, n, node, sketch): with ``full`` the sketch is the whole set."""
+    """(id, text_hash, n, node, sketch): with ``full`` the sketch is the whole set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             sets = shingle_sets(batch.column("text"), width)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()),
+                    batch.column("id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()),
                     pa.array([s if full else s[:sketch] for s in sets], pa.list_(pa.int64())),
                 ],
-                ["id", "n", "node", "sketch"],
+                ["id", "text_hash", "n", "node", "sketch"],
             )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, node long, sketch array<long>")
+    wanted = docs.select("id", "text", F.xxhash64("text").alias("text_hash"))
+    return wanted.mapInArrow(run, "id long, text_hash long, n long, node long, sketch array<long>")
 
 
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -142,7 +143,7 @@ def _labelled(table: DataFrame, labels: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, sketch: int = SKETCH, percent: int = PERCENT
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``. Runs jobs when called."""
+    """(doc_id, n_shingles, component_id, kept, text_hash) for every row of ``docs``. Runs jobs when called."""
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     profiles = staged(_profiles(docs, width, sketch, False), "profiles")
     known = profiles.where("node is not null")
@@ -176,6 +177,19 @@ def near_duplicates(
     members = _labelled(classes, labels)
     smallest = members.groupBy("label").agg(F.min("id").alias("component_id"))
     of_node = members.join(smallest, "label").select("node", "component_id")
-    out = profiles.select("id", "n", "node").join(of_node, "node", "left")
+    out = profiles.select("id", "n", "node", "text_hash").join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.col("id").eqNullSafe(component).alias("kept"), "text_hash",
+    )
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, sketch: int = SKETCH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without the other members of each component; a row that repeats id and text stays once.
+    Columns are those of ``docs``. Runs jobs when called."""
+    found = near_duplicates(docs, id_col, text_col, width, sketch, percent)
+    gone = found.where(~F.col("kept")).select("doc_id", "text_hash").distinct()
+    row = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"), F.struct("*").alias("row"))
+    left = row.join(gone, row["id"].eqNullSafe(gone["doc_id"]) & (row["hash"] == gone["text_hash"]), "left_anti")
+    return left.dropDuplicates(["id", "hash"]).select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from echoscore.llm import neardup, packing, quality, toxicity
+from echoscore.llm import ann, chat, digests, lm, neardup, packing, pieces, pii, quality, secrets, toxicity
 from echoscore.sources.readers import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,7 +105,7 @@ def op10_toxicity(spark, d):
 
 @query
 def op8_near_duplicates(spark, d):
-    return neardup.near_duplicates(table(spark, d, "documents"))
+    return neardup.near_duplicates(table(spark, d, "documents")).drop("text_hash")
 
 
 ORACLE["op8_near_duplicates"] = r"""
@@ -128,3 +128,85 @@ reach as (
 smallest as (select x as r, min(doc_id) as component_id from reach join words on words.r = reach.y group by x)
 select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept
 from words left join sizes using (r) join smallest using (r)"""
+
+
+# --- secrets ----------------------------------------------------------------------------------
+
+
+def secrets_network(docs):
+    return secrets.fit(docs.select(F.col("doc_id").alias("id"), "text"))
+
+
+@query
+def op3_secrets(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", secrets.findings(spark, secrets_network(docs)).alias("found"))
+    spans, base = F.col("found"), digests.only(F.col("found"), secrets.KINDS[:3])
+    return found.select(
+        "doc_id", *[digests.count_of(spans, k).alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(digests.listed(base), 256).alias("base_sha256"), digests.listed(spans).alias("spans"),
+    )
+
+
+# --- personal data ----------------------------------------------------------------------------
+
+
+@query
+def op2_pii(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    weights = pii.fit(docs.select(F.col("doc_id").alias("id"), "text"))
+    found = docs.select("doc_id", pii.findings(spark, weights).alias("found"))
+    spans, base = F.col("found"), F.filter("found", lambda s: s["base"])
+    return found.select(
+        "doc_id", *[digests.count_of(base, k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(digests.listed(base), 256).alias("base_sha256"), digests.listed(spans).alias("spans"),
+        F.size(F.filter(spans, lambda s: ~s["base"])).cast("long").alias("n_added"),
+    )
+
+
+# --- language model, subwords -----------------------------------------------------------------
+
+
+@query
+def op5_lm_scores(spark, d):
+    docs, fold = table(spark, d, "documents"), remainder("doc_id", 7)
+    return lm.scored(docs, fold != 2, fold == 2)
+
+
+@query
+def op9_pieces(spark, d):
+    found = pieces.encoded(table(spark, d, "documents"))
+    ids = F.concat_ws(",", F.transform("ids", lambda i: i.cast("string")))
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+# --- vectors ----------------------------------------------------------------------------------
+
+
+@query
+def op6_nearest(spark, d):
+    rows = table(spark, d, "embeddings")
+    return ann.nearest(rows, F.col("vec_id") % 100 == 0)
+
+
+# --- chat -------------------------------------------------------------------------------------
+
+
+@query
+def op7_chat_formatting(spark, d):
+    return chat.formatted(table(spark, d, "conversations"))
+
+
+ORACLE["op7_chat_formatting"] = """
+with turns as (select distinct conv_id, turn, role, text from conversations where conv_id is not null and turn is not null),
+logged as (
+  select conv_id, list((turn, role, text) order by turn, role nulls first, text nulls first) as ts,
+    string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10), ''
+      order by turn, role nulls first, text nulls first) as rendered
+  from turns group by conv_id),
+one as (select ts, min(conv_id) as conv_id, any_value(rendered) as rendered from logged group by ts)
+select conv_id, len(ts)::bigint as n_turns, rendered from one a
+where not exists (select 1 from one b where len(b.ts) > len(a.ts) and b.ts[1:len(a.ts)] = a.ts and b.ts[len(a.ts) + 1][1] <> a.ts[len(a.ts)][1])"""

@@ -158,11 +158,11 @@ def scores(texts: pa.Array, model: Model) -> np.ndarray:
 
 def score(spark: SparkSession, model: Model, text: str = "text") -> Column:
     """Column of scores between 0 and 1."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(tuple(model))  # a plain value needs no package to be read
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        held = shared.value
+        held = Model(*shared.value)
         for texts in batches:
             yield pa.array(np.concatenate([np.zeros(0), *(scores(texts.slice(i, 512), held) for i in range(0, len(texts), 512))]))
 

@@ -41,9 +41,9 @@ def noise_gain(main: Column, noise: Column, multiplier: float = K.NOISE_MULTIPLI
 
 
 def mix(main: Column, noise: Column, gain: Column) -> Column:
-    """Main clip plus the looped, scaled noise, limited to [-1, 1]."""
+    """Main clip plus the looped, scaled noise, limited to [-1, 1]; NULL unless both clips are usable."""
     # transform over one-element arrays names size and gain once per row, not once per sample
-    return F.transform(
+    mixed = F.transform(
         F.array(F.struct(gain.alias("g"), F.size(noise).alias("n"))),
         lambda k: F.transform(
             main,
@@ -56,6 +56,7 @@ def mix(main: Column, noise: Column, gain: Column) -> Column:
             ).cast("float"),
         ),
     )[0]
+    return F.when(usable(main) & usable(noise) & gain.isNotNull(), mixed)
 
 
 def insert_silence(clip: Column, n: Column | int, position: Column) -> Column:

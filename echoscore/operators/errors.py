@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from echoscore import constants as K
 from echoscore.functions import responses as R, text as T
-from echoscore.operators.ranking import top_n
+from echoscore.operators.ranking import join_rows, top_n
 from echoscore.operators.scoring import row_rates
 from echoscore.sources.schemas import CRITIQUE_FIELDS
 from echoscore.sources.stage import staged
@@ -26,7 +26,7 @@ def worst_cases(scored_texts: DataFrame, keys: Sequence[str], n: int = K.CRITIC_
     rates = row_rates(scored_texts).select(*unique, "wer", "cer")
     order = [F.col("cer").desc_nulls_last(), F.col("wer").desc_nulls_last(), F.col(id_col)]
     winners = top_n(rates, keys, order, n, unique, rank="case_no")
-    return scored_texts.join(staged(winners, "worst-cases"), unique)
+    return join_rows(scored_texts, staged(winners, "worst-cases"), unique)
 
 
 def _block(heading: str, number: Column, lines: Sequence[tuple[str, Column]]) -> Column:

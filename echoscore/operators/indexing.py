@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from echoscore import constants as K
+from echoscore.operators.ranking import join_rows
+
 
 def id_bucket(id_col: str = "id") -> Column:
     """Bucket of a numeric id. Ids are unique per key group, so a bucket holds at most 65,536 rows."""
@@ -44,11 +46,12 @@ def _bucket_offsets(counts: DataFrame, keys: Sequence[str], parent: Callable[[st
     else:
         nested = counts.withColumn("_parent", parent("_bucket"))
         parents = _running(_totals(nested, [*keys, "_parent"]), keys, ["_parent"], "_base").drop("_n")
-        offsets = _running(nested, [*keys, "_parent"], ["_bucket"], "_inside").join(parents, [*keys, "_parent"])
+        offsets = _running(nested, [*keys, "_parent"], ["_bucket"], "_inside")
+        offsets = join_rows(offsets, parents, [*keys, "_parent"])
         offsets = offsets.withColumn("_offset", F.col("_inside") + F.col("_base"))
     if keys:
         starts = _running(_totals(counts, keys), [], keys, "_start").drop("_n")
-        offsets = offsets.join(starts, list(keys)).withColumn("_offset", F.col("_offset") + F.col("_start"))
+        offsets = join_rows(offsets, starts, keys).withColumn("_offset", F.col("_offset") + F.col("_start"))
     return offsets.select(*keys, "_bucket", "_offset")
 
 
@@ -67,21 +70,23 @@ def global_index(
     ``only`` (rows that carry ``only_on`` and the bucket's input columns) restricts the output; then
     only the buckets it touches are sorted.
     """
-    on = [*keys, "_bucket"]
-    df = df.withColumn("_bucket", bucket)
-    offsets = _bucket_offsets(df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), keys, parent)
+    # One struct holds keys and bucket: it is never NULL, so rows with a NULL key are numbered like
+    # any other, and window and joins share its partitioning.
+    at = F.struct(*keys, bucket.alias("_bucket"))
+    df = df.withColumn("_at", at)
+    counts = df.groupBy("_at").agg(F.count(F.lit(1)).alias("_n")).select("_at.*", "_n")
+    offsets = _bucket_offsets(counts, keys, parent).select(F.struct(*keys, "_bucket").alias("_at"), "_offset")
     if only is not None:
-        wanted = only.withColumn("_bucket", bucket)
-        df = df.join(wanted.select(*on).distinct(), on, "left_semi")
-    place = Window.partitionBy(*on).orderBy(*order)
+        df = df.join(only.select(at.alias("_at")).distinct(), "_at", "left_semi")
+    place = Window.partitionBy("_at").orderBy(*order)
     numbered = (
         df.withColumn("_place", F.row_number().over(place) - 1)
-        .join(offsets, on)
+        .join(offsets, "_at")
         .withColumn(name, (F.col("_offset") + F.col("_place")).cast("long"))
-        .drop("_bucket", "_place", "_offset")
+        .drop("_at", "_place", "_offset")
     )
     if only is not None:
-        numbered = numbered.join(only.select(*only_on), list(only_on), "left_semi")
+        numbered = join_rows(numbered, only.select(*only_on), only_on, "left_semi")
     return numbered
 
 

@@ -44,8 +44,11 @@ def distinct_jobs(*names: DataFrame) -> DataFrame:
 
 
 def run_progress(expected: DataFrame, received: DataFrame) -> DataFrame:
-    """Per job: requests sent, distinct answers received, and whether it is complete."""
-    sent = expected.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_expected"))
-    got = received.select("job_id", "gcs_uri").distinct().groupBy("job_id").agg(F.count(F.lit(1)).alias("n_received"))
+    """Per job: distinct requests (rows without a URI are never sent), distinct answers, and whether it is complete."""
+    # distinct pairs first: a job that holds a third of all rows is then counted by many tasks
+    def pairs(df: DataFrame, name: str) -> DataFrame:
+        return df.select("job_id", "gcs_uri").distinct().groupBy("job_id").agg(F.count("gcs_uri").alias(name))
+
+    sent, got = pairs(expected, "n_expected"), pairs(received, "n_received")
     joined = sent.join(got, "job_id", "left").withColumn("n_received", F.coalesce("n_received", F.lit(0)))
     return joined.withColumn("complete", F.col("n_received") >= F.col("n_expected"))

@@ -20,6 +20,16 @@ def text_key(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
+def join_rows(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join where a NULL key equals a NULL key.
+
+    The keys travel as one struct, which is never NULL itself and compares its fields, so sort-merge
+    and hash joins, skew splitting and the reuse of a partitioning work as for plain columns.
+    """
+    key = F.struct(*keys)
+    return left.withColumn("_key", key).join(right.withColumn("_key", key).drop(*keys), "_key", how).drop("_key")
+
+
 def _pick(df: DataFrame, keys: Sequence[str], pick, order: Sequence[Column]) -> DataFrame:
     rows = df.groupBy(*keys).agg(pick(F.struct(*df.columns), F.struct(*order)).alias("_row"))
     return rows.select("_row.*")
@@ -71,4 +81,4 @@ def top_n_wide(
     """
     narrow = df.select(*dict.fromkeys([*keys, *order_cols, *unique]))
     winners = top_n(narrow, keys, order, n, unique, rank).select(*unique, rank)
-    return df.join(staged(winners, "winners"), list(unique))
+    return join_rows(df, staged(winners, "winners"), unique)

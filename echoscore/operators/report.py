@@ -8,12 +8,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from echoscore import constants as K
 from echoscore.functions import text as T
-from echoscore.operators.ranking import text_key, top_n
+from echoscore.operators.ranking import join_rows, text_key, top_n
+from echoscore.operators.samples import audio_path
 from echoscore.operators.runs import RUN_KEY, best_run_per_group_lang, in_view
 from echoscore.operators.scoring import row_rates
 from echoscore.sources.stage import staged
 
 
+# Where a result row names its clip, by preference.
+AUDIO_COLUMNS = ("noisy_output_path", "silence_output_path", "file_path")
+
+
 def summary_sorted(runs: DataFrame) -> DataFrame:
     """Runs in report order, missing values first like empty text."""
     return runs.orderBy(*[text_key(c) for c in RUN_KEY], "run_seq")
@@ -38,8 +43,11 @@ def _mean_percent(c: str) -> Column:
     Summed as decimals: a sum of doubles depends on the order of the partitions, and a last-digit
     difference is enough to round the other way.
     """
-    mean = F.sum(F.col(c).try_cast("decimal(28,15)")) / F.count(c)
-    return F.when(F.max(F.isnan(c)), float("nan")).otherwise(F.round(mean * 100, 2).cast("double"))
+    exact = F.col(c).try_cast("decimal(28,15)")
+    mean = F.round(F.sum(exact) / F.count(c) * 100, 2).cast("double")
+    # infinite and very large values have no decimal form
+    mean = F.when(F.count(exact) < F.count(c), F.round(F.avg(c) * 100, 2)).otherwise(mean)
+    return F.when(F.max(F.isnan(c)), float("nan")).otherwise(mean)
 
 
 def chart(runs: DataFrame, lang: str = "all", group: str = "all") -> DataFrame:
@@ -54,10 +62,11 @@ def chart(runs: DataFrame, lang: str = "all", group: str = "all") -> DataFrame:
         .agg(_mean_percent("wer").alias("avg_wer"), _mean_percent("cer").alias("avg_cer"))
     )
     version = F.coalesce(T.first_filled(F.col("prompt_version")), F.lit(K.DEFAULT_LABEL))
-    label = F.concat("model", F.lit(" ("), "config", F.lit(") ["), version, F.lit("]"))
+    shown = lambda c: F.coalesce(F.col(c), F.lit(""))
+    label = F.concat(shown("model"), F.lit(" ("), shown("config"), F.lit(") ["), version, F.lit("]"))
     for column, wanted in (("lang", lang), ("group", group)):
         if wanted == "all":
-            label = F.concat(label, F.lit(" ["), column, F.lit("]"))
+            label = F.concat(label, F.lit(" ["), shown(column), F.lit("]"))
     lowest = bars.agg(
         F.struct(*[F.min(F.when(~F.isnan(c), F.col(c))).alias(c) for c in ("avg_wer", "avg_cer")])
     ).scalar()
@@ -75,7 +84,7 @@ def best_flags(runs: DataFrame, views: Sequence[str]) -> DataFrame:
     """
     lowest = runs.groupBy(*views).agg(F.min("wer").alias("_wer"), F.min("cer").alias("_cer"))
     return (
-        runs.join(lowest, list(views))
+        join_rows(runs, lowest, views)
         .withColumn("best_wer", F.col("wer") == F.col("_wer"))
         .withColumn("best_cer", F.col("cer") == F.col("_cer"))
         .drop("_wer", "_cer")
@@ -108,18 +117,19 @@ def detail(best: DataFrame, rows: DataFrame, n: int = K.REPORT_DETAIL_ROWS) -> D
     """First n rows of each best run's result file, then without blank references, with row rates.
 
     ``best`` has (lang, group, result_path), ``rows`` the scored files as (result_path, id,
-    transcription, prediction). Only the n rows per file are scored.
+    transcription, prediction and any of AUDIO_COLUMNS). Only the n rows per file are scored.
     """
     wanted = best.select(F.col("lang").alias("_l"), F.col("group").alias("_g"), "result_path")
     wanted = staged(wanted.where("result_path IS NOT NULL"), "best-runs")
     narrow = rows.select("result_path", "id").join(wanted.select("result_path").distinct(), "result_path", "left_semi")
     first = top_n(narrow, ["result_path"], [F.col("id")], n, ["result_path", "id"], rank="row_no")
-    picked = rows.join(staged(first, "first-rows"), ["result_path", "id"]).join(wanted, "result_path")
+    picked = join_rows(rows, staged(first, "first-rows"), ["result_path", "id"]).join(wanted, "result_path")
     shown = picked.where(T.normalize(F.col("transcription")) != "")
     scored = row_rates(shown)
+    audio = audio_path(scored, *AUDIO_COLUMNS)
     return scored.select(
         F.col("_g").alias("group"), F.col("_l").alias("lang"), "row_no", "id", "transcription",
-        T.remove_end_mark(F.col("prediction")).alias("prediction"), "wer", "cer",
+        T.remove_end_mark(F.col("prediction")).alias("prediction"), "wer", "cer", audio.alias("audio_path"),
     )
 
 

@@ -105,11 +105,18 @@ def train_run_of_best(best: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def pending_jobs(jobs: DataFrame, summary: DataFrame) -> DataFrame:
-    """Jobs with an output location whose normalised result path is not in the summary yet."""
+    """Jobs with an output location whose normalised result path is not in the summary yet.
+
+    A path that is logged more than once counts for its first job, by time of the log, log file and
+    place in it (``readers.job_logs`` gives all three); equal or missing places go by the row itself.
+    """
     # normalising never empties a path, so the plain columns decide and can be pushed to the scan
     located = jobs.where((F.col("gcs_output_base_uri") != "") & (F.col("local_output_csv") != ""))
     todo = located.withColumn(
         "local_inference_csv_path", T.result_path(F.col("local_output_csv"), F.col("prompt_version"))
     )
     done = summary.select("local_inference_csv_path").where("local_inference_csv_path IS NOT NULL")
-    return todo.join(done, "local_inference_csv_path", "left_anti")
+    todo = todo.join(done, "local_inference_csv_path", "left_anti")
+    places = [F.col(c) for c in ("log_time", "log_file", "log_row") if c in todo.columns]
+    rest = [c for c, kind in todo.dtypes if not kind.startswith(("map", "variant"))]
+    return first_row(todo, ["local_inference_csv_path"], *places, F.struct(*rest))

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from echoscore import constants as K
 from echoscore.functions import text as T
 from echoscore.operators.indexing import global_index, hash_bucket, sample_index
-from echoscore.operators.ranking import first_row, top_n
+from echoscore.functions.audio import usable
+from echoscore.operators.ranking import first_row, join_rows, top_n
 from echoscore.sources.stage import staged
 
 
@@ -28,6 +29,11 @@ def audio_path(df: DataFrame, *candidates: str) -> Column:
     return T.first_filled(*present) if present else F.lit(None).cast("string")
 
 
+def first_present(df: DataFrame, *candidates: str) -> Column:
+    """The first of the candidate columns that the table has, whatever its values; NULL when none."""
+    return next((F.col(c) for c in candidates if c in df.columns), F.lit(None).cast("string"))
+
+
 def _first_labelled(samples: DataFrame, n: int, valid: Column | None) -> DataFrame:
     """The first n usable labelled samples per language, with rank (0-based) and index.
 
@@ -43,14 +49,21 @@ def _first_labelled(samples: DataFrame, n: int, valid: Column | None) -> DataFra
     first = staged(first, "first-labelled")
     index = sample_index(labelled.select(*keys), only=first.select(*keys), only_on=keys)
     # the staged winners reduce the wide rows first; the join with the index is then a small one
-    return labelled.join(first, keys).join(index, keys)
+    return join_rows(join_rows(labelled, first, keys), index, keys)
 
 
 def pick_noise(rows: DataFrame, noise: DataFrame, seed: int = 0) -> DataFrame:
-    """Give each row one noise clip, the same one in every run with the same seed."""
+    """Give each row one noise clip, the same one in every run with the same seed.
+
+    Every (lang, group, id) draws for itself. Where ``noise`` has the clips' ``samples``, only those
+    that can be mixed are drawn.
+    """
+    if "samples" in noise.columns:
+        noise = noise.where(usable(F.col("samples")))
     clips = global_index(noise.select("noise_id"), [], [F.md5("noise_id"), "noise_id"], hash_bucket("noise_id"), name="_pick")
     n_clips = noise.agg(F.count(F.lit(1))).scalar()
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "group", "id") if c in rows.columns]
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
     draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
     return rows.withColumn("_pick", F.pmod(draw, n_clips)).join(clips, "_pick").drop("_pick")
 

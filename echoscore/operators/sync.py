@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from echoscore import constants as K
 from echoscore.functions import text as T
-from echoscore.operators.samples import audio_path
+from echoscore.operators.samples import first_present
 
 
 def storage_uri(df: DataFrame, path: Column, bucket: str, prefix: str, scheme: str = "gs") -> Column:
@@ -25,9 +25,10 @@ def sync_plan(
 ) -> DataFrame:
     """Manifest + ``status`` (reuse / upload / missing / no_path) and the final ``gcs_uri``.
 
-    ``stored`` and ``local`` are listings with a ``path`` column: storage URIs and file paths.
+    The path is the first of ``path_columns`` that the manifest has. A row whose path is missing there is
+    ``no_path``: another column would name another clip. ``stored`` and ``local`` are listings with a ``path`` column: storage URIs and file paths.
     """
-    plan = manifest.withColumn("_path", audio_path(manifest, *path_columns))
+    plan = manifest.withColumn("_path", T.first_filled(first_present(manifest, *path_columns)))
     plan = plan.withColumn("_uri", storage_uri(manifest, F.col("_path"), bucket, prefix, scheme))
     in_store = stored.select(F.col("path").alias("_uri"), F.lit(True).alias("_stored")).distinct()
     on_disk = local.select(F.col("path").alias("_path"), F.lit(True).alias("_local")).distinct()

@@ -138,7 +138,7 @@ def sync_plan(spark, d):
     s = V.samples(spark, d).withColumn(
         "noisy_output_path",
         F.when(F.col("group") != "dev", F.concat(F.lit(AUDIO_DIR + "/"), "lang", F.lit("-"), F.col("id").cast("string"), F.lit(".wav"))),
-    ).drop("file_path")
+    )
     uri = F.concat(F.lit("gs://bucket/batch_audio/"), "group", F.lit("_"), "lang", F.lit("/"), "lang", F.lit("-"), F.col("id").cast("string"), F.lit(".wav"))
     stored = V.samples(spark, d).where("medical_yn").select(uri.alias("path"))
     local = table(spark, d, "pages").join(table(spark, d, "documents"), F.col("page_id") == F.col("doc_id"))
@@ -300,7 +300,7 @@ def join_predictions(spark, d):
 @query
 def run_progress(spark, d):
     parsed = responses.parse_responses(V.response_lines(spark, d), keep=("job_id",))
-    return jobs.run_progress(V.transcripts(spark, d).select("job_id"), parsed)
+    return jobs.run_progress(V.transcripts(spark, d).select("job_id", "gcs_uri"), parsed)
 
 
 def _job_log(spark, d):
@@ -321,7 +321,9 @@ def normalize_output_path(spark, d):
 
 @query
 def incremental_runs(spark, d):
+    """Every job is logged a second time, later, under another number."""
     log = _job_log(spark, d)
+    log = log.unionByName(log.withColumn("run_seq", F.col("run_seq") + 1_000_000_000)).withColumn("log_row", F.col("run_seq"))
     returned = table(spark, d, "lineitem").where(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("run_seq"))
     done = log.join(returned, "run_seq", "left_semi")
     done = done.select(T.result_path(F.col("local_output_csv"), F.col("prompt_version")).alias("local_inference_csv_path"))
@@ -336,8 +338,8 @@ def stream_scores(spark, d):
     lines = V.response_lines(spark, d)
     for wave in (1, 2):
         sinks.requests(lines.where(F.col("seq") == wave), f"{base}/landing/wave={wave}", line_col="raw", files_per_job=2)
-        scored = streaming.scored_stream(streaming.response_stream(spark, f"{base}/landing"), expected)
-        streaming.start(scored, f"{base}/scores", f"{base}/progress").awaitTermination()
+        arriving = streaming.response_stream(spark, f"{base}/landing")
+        streaming.start(arriving, expected, f"{base}/scores", f"{base}/progress").awaitTermination()
     return _rounded(streaming.current_summary(spark, f"{base}/scores", expected), "wer", "cer")
 
 
@@ -518,7 +520,7 @@ def report_chart(spark, d):
 
 @query
 def report_flags(spark, d):
-    return report.best_flags(_report_runs(spark, d), ["lang", "group"]).select(*RUN_OUT, "best_wer", "best_cer")
+    return report.best_flags(_report_runs(spark, d).withColumn("group", F.when(F.col("group") != "silence", F.col("group"))), ["lang", "group"]).select(*RUN_OUT, "best_wer", "best_cer")
 
 
 @query
@@ -528,7 +530,8 @@ def report_detail(spark, d):
     summary = scoring.corpus_rates(t, SETTING).withColumn("local_inference_csv_path", path).withColumn("run_seq", F.lit(0))
     moved = F.concat(F.lit("/archive/evaluation_"), V.job_id(), F.lit(".csv"))
     rows = t.select(
-        F.when(F.col("lang") == "fr", moved).otherwise(path).alias("result_path"), "id", "transcription", "prediction"
+        F.when(F.col("lang") == "fr", moved).otherwise(path).alias("result_path"), "id", "transcription", "prediction",
+        F.col("gcs_uri").alias("file_path"),
     )
     listing = rows.select(F.col("result_path").alias("path")).distinct()
     best = report.dataset_sections(

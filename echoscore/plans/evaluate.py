@@ -10,6 +10,8 @@ from echoscore.operators.runs import pending_jobs
 from echoscore.operators.scoring import corpus_rates
 
 SAMPLE_COLUMNS = ("id", "transcription", "gcs_uri")
+# Where a job stands in the logs; kept as far as the jobs have it.
+LOG_COLUMNS = ("log_time", "log_file", "log_row")
 RUN_COLUMNS = ("job_id", "lang", "group", "model", "config", "prompt_version", "local_inference_csv_path")
 
 
@@ -29,7 +31,8 @@ def scored_texts(jobs: DataFrame, noisy: DataFrame | None, silence: DataFrame |
 def run_summary(
     jobs: DataFrame, done: DataFrame, noisy: DataFrame | None, silence: DataFrame | None, lines: DataFrame
 ) -> DataFrame:
-    """One summary row per job that is not in ``done`` yet, all jobs in one pass."""
+    """One summary row per job that is not in ``done`` yet, all jobs in one pass, with the job's place in the logs."""
     todo = pending_jobs(jobs, done).withColumnRenamed("config_name", "config")
     rows = scored_texts(todo, noisy, silence, lines)
-    return corpus_rates(rows, RUN_COLUMNS)
+    places = [c for c in LOG_COLUMNS if c in todo.columns]
+    return corpus_rates(rows, [*RUN_COLUMNS, *places])

@@ -72,11 +72,12 @@ def first_labelled(n: int, valid: str) -> str:
 
 PICK = """noise as (
   select 'noise' || vec_id as noise_id, embedding as samples,
-         row_number() over (order by md5('noise' || vec_id), 'noise' || vec_id) - 1 as pick from embeddings)"""
+         row_number() over (order by md5('noise' || vec_id), 'noise' || vec_id) - 1 as pick from embeddings
+  where vec_id % 10 not in (3, 5, 7))"""
 
 
 def draw(x: str) -> str:
-    return f"(('0x' || substr(md5('0:' || {x}), 1, 8))::bigint % (select count(*) from embeddings))"
+    return f"(('0x' || substr(md5('0:' || {x}), 1, 8))::bigint % (select count(*) from noise))"
 
 
 NOISE_PLAN = first_labelled(100, "not toxic") + f""", {PICK}, noisy as (
@@ -84,7 +85,7 @@ NOISE_PLAN = first_labelled(100, "not toxic") + f""", {PICK}, noisy as (
          '/audio/noisy/' || lang || '-' || group_name || '-' || idx || '-' || id || '-' || noise_id || '.wav' as noisy_output_path,
          transcription
   from (select *, case when rank < 50 then 'train' else 'test' end as group_name from chosen)
-  join noise on noise.pick = {draw('id')})"""
+  join noise on noise.pick = {draw("lang || ':' || \"group\" || ':' || id")})"""
 
 _SILENCE_PLAN = """silence as (
   select id, lang, "group", rank, idx, silence_position,
@@ -325,12 +326,12 @@ select id, job_id, '{{"key": "req-' || id as raw from transcripts where "group"
 ORACLE["join_predictions"] = f"with {TRANSCRIPTS} select id, job_id, gcs_uri, transcription, prediction from transcripts"
 
 ORACLE["run_progress"] = f"""with {TRANSCRIPTS}
-select job_id, count(*) as n_expected, count(distinct case when "group" <> 'silence' then gcs_uri end) as n_received,
-       count(distinct case when "group" <> 'silence' then gcs_uri end) >= count(*) as complete from transcripts group by job_id"""
+select job_id, count(distinct gcs_uri) as n_expected, count(distinct case when "group" <> 'silence' then gcs_uri end) as n_received,
+       count(distinct case when "group" <> 'silence' then gcs_uri end) >= count(distinct gcs_uri) as complete from transcripts group by job_id"""
 
 ORACLE["stream_scores"] = CORPUS_SCORED + """
 select job_id, count(*) as n_scored, round(sum(word_edits)::double / sum(ref_words)::double, 6) as wer,
-  round(sum(char_edits)::double / sum(ref_chars)::double, 6) as cer, count(*) as n_expected, count(distinct gcs_uri) as n_received,
+  round(sum(char_edits)::double / sum(ref_chars)::double, 6) as cer, count(distinct gcs_uri) as n_expected, count(distinct gcs_uri) as n_received,
   true as complete
 from scored where ref_chars is not null and "group" <> 'silence' group by job_id"""
 
@@ -492,15 +493,17 @@ ORACLE["report_chart"] = f"""with {RUNS}, bars as (
 select {SETTING}, model || ' (' || config || ') [' || coalesce(prompt_version, 'default') || '] [' || lang || ']' as label, avg_wer, avg_cer,
        avg_wer = min(avg_wer) over () as best_wer, avg_cer = min(avg_cer) over () as best_cer from bars"""
 
-ORACLE["report_flags"] = f"""with {RUNS} select {RUN_OUT}, wer = min(wer) over (partition by lang, "group") as best_wer,
-  cer = min(cer) over (partition by lang, "group") as best_cer from report_runs"""
+ORACLE["report_flags"] = f"""with {RUNS}, named as (select * replace (nullif("group", 'silence') as "group") from report_runs)
+select {RUN_OUT}, wer = min(wer) over (partition by lang, "group") as best_wer,
+  cer = min(cer) over (partition by lang, "group") as best_cer from named"""
 
 ORACLE["report_detail"] = ROW_SCORED + CORPUS_CER + """,
 best as (
   select * from (select *, row_number() over (partition by "group", lang order by cer, model, config, prompt_version) as rn from summary) where rn = 1),
 numbered as (
   select scored.*, row_number() over (partition by {s} order by id) as row_no from scored)
-select n."group", n.lang, row_no, n.id, n.transcription, {p} as prediction, round(n.wer, 6) as wer, round(n.cer, 6) as cer
+select n."group", n.lang, row_no, n.id, n.transcription, {p} as prediction, round(n.wer, 6) as wer, round(n.cer, 6) as cer,
+  n.gcs_uri as audio_path
 from numbered n join best b on n.lang = b.lang and n."group" = b."group" and n.model = b.model and n.config = b.config and n.prompt_version = b.prompt_version
 where row_no <= 20 and n.r <> ''""".format(s=SETTING, p=no_end_mark("n.prediction"))
 

@@ -47,8 +47,16 @@ def raw_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def noise_clips(spark: SparkSession, d: str) -> DataFrame:
+    """embeddings as noise; in tens of ids one clip is silent, one empty and one ends in NaN."""
+    digit, clip = F.col("vec_id") % 10, F.col("embedding")
+    samples = (
+        F.when(digit == 3, F.transform(clip, lambda x: F.lit(0.0).cast("float")))
+        .when(digit == 5, F.slice(clip, 1, 0))
+        .when(digit == 7, F.concat(clip, F.array(F.lit(float("nan")).cast("float"))))
+        .otherwise(clip)
+    )
     return table(spark, d, "embeddings").select(
-        F.concat(F.lit("noise"), F.col("vec_id").cast("string")).alias("noise_id"), F.col("embedding").alias("samples")
+        F.concat(F.lit("noise"), F.col("vec_id").cast("string")).alias("noise_id"), samples.alias("samples")
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -38,11 +39,11 @@ def build_session(master: str | None = None, app: str = "echoscore", **conf: str
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, the storage every executor can reach.
 
-    Only a local master (tests) may go without the setting; it then gets a temporary folder.
+    Only a local master (tests, one process) may go without the setting; it then gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="echoscore-")
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fnmatch import fnmatch
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -82,10 +83,29 @@ def json_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def response_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Response files of many jobs, laid out as ``<folder>/.../job_id=<job>/...jsonl``: (job_id, file, seq, raw).
+
+    ``seq`` is the line's place in its file, the offset of the file split and an id that grows inside
+    it, so the last answer of a file is the last line.
+    """
+    path = _file_path()
+    return (
+        spark.read.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).text(folder)
+        .select(
+            # folder names of partitions have their special characters escaped once more
+            url_unquote(F.regexp_extract(path, r"/job_id=([^/]+)/", 1)).alias("job_id"), path.alias("file"),
+            F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("seq"),
+            F.col("value").alias("raw"),
+        )
+        .where(F.trim("raw") != "")
+    )
+
+
 def job_logs(spark: SparkSession, paths: str | Sequence[str], arrays: bool = True) -> DataFrame:
     """Job records of JSON-array logs (``arrays=False``: JSON lines, as ``sinks.json`` writes them).
 
-    What does not parse contributes nothing. ``kind`` tells silence runs apart, whatever the log file
+    What does not parse contributes nothing. ``log_row`` grows with the place in a log. ``kind`` tells silence runs apart, whatever the log file
     is called.
     """
     rows = (
@@ -97,6 +117,7 @@ def job_logs(spark: SparkSession, paths: str | Sequence[str], arrays: bool = Tru
     # the second condition also keeps Spark from reading nothing but the error column
     named = "lang IS NOT NULL OR job_name IS NOT NULL OR local_output_csv IS NOT NULL"
     good = rows.where(f"_corrupt_record IS NULL AND ({named})").drop("_corrupt_record")
+    good = good.withColumn("log_row", F.monotonically_increasing_id())
     kind = F.when(F.col("group") == "silence", "silence").otherwise("normal")
     return good.withColumn("submitted_at", F.col("submitted_at").try_cast("timestamp")).withColumn("kind", kind)
 
@@ -108,20 +129,36 @@ def broken_job_logs(spark: SparkSession, paths: str | Sequence[str]) -> DataFram
 
 
 def prompts(spark: SparkSession, folder: str, suffix: str = ".txt") -> DataFrame:
-    """Prompt files of one folder as whole texts: (prompt_version, text). Empty files give no row."""
-    return (
+    """Prompt files of one folder as whole texts: (prompt_version, text). An empty file is an empty text."""
+    read = (
         spark.read.option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True)
         .select(F.col("_metadata.file_name").alias("prompt_version"), F.col("value").alias("text"))
     )
+    empty = [(path.rsplit("/", 1)[1], "") for path in empty_files(spark, folder, False) if path.endswith(suffix)]
+    return read.unionByName(spark.createDataFrame(empty, read.schema)) if empty else read
+
+
+def empty_files(spark: SparkSession, folder: str, recursive: bool = True) -> list[str]:
+    """Files of length 0, which Spark's scans leave out. Asks the file system for one listing."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(jvm_path, recursive)
+    found = []
+    while files.hasNext():
+        status = files.next()
+        if status.getLen() == 0:
+            found.append(status.getPath().toString())
+    return found
 
 
 def file_listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """Files below a folder without reading them: (path, length). Empty files are left out by Spark."""
-    return (
+    """Files below a folder without reading them: (path, length), empty ones too."""
+    read = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob).option("recursiveFileLookup", True)
         .load(folder).select("path", "length")
     )
+    empty = [(path, 0) for path in empty_files(spark, folder) if fnmatch(path.rsplit("/", 1)[1], glob)]
+    return read.unionByName(spark.createDataFrame(empty, read.schema)) if empty else read
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

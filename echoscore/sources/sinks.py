@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from echoscore.sources.readers import path_exists
 
 
 def requests(
@@ -28,5 +30,17 @@ def json(df: DataFrame, folder: str) -> None:
 
 
 def append_runs(summary: DataFrame, path: str) -> None:
-    """Append summary rows to the Parquet run table."""
-    summary.write.mode("append").parquet(path)
+    """Append summary rows to the Parquet run table, with ``LOG_FILE`` and ``run_seq``.
+
+    ``run_seq`` goes on from the table's highest, in log order. One row is one job, so a single task
+    can number them.
+    """
+    spark = summary.sparkSession
+    last = spark.read.parquet(path).agg(F.max("run_seq")).first()[0] if path_exists(spark, path) else None
+    places = [c for c in ("log_time", "log_file", "log_row") if c in summary.columns]
+    order = Window.orderBy(*places, "local_inference_csv_path")
+    rows = summary.withColumn("run_seq", F.row_number().over(order) + F.lit(last or 0).cast("long"))
+    kept = [F.col(c) for c in rows.columns if c not in ("log_time", "log_file", "log_row")]
+    if "log_file" in summary.columns:
+        kept.append(F.element_at(F.split("log_file", "/"), -1).alias("LOG_FILE"))
+    rows.select(*kept).write.mode("append").parquet(path)

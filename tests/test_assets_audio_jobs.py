@@ -122,6 +122,6 @@ def test_newest_log_and_distinct_names(spark):
 
 
 def test_run_progress(spark):
-    sent = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "job_id string")
+    sent = spark.createDataFrame([("a", "u1"), ("a", "u2"), ("a", "u2"), ("a", None), ("b", "u1"), ("c", "u1"), ("d", None)], "job_id string, gcs_uri string")
     got = spark.createDataFrame([("a", "u1"), ("a", "u1"), ("b", "u1")], "job_id string, gcs_uri string")
-    assert {tuple(r) for r in jobs.run_progress(sent, got).collect()} == {("a", 2, 1, False), ("b", 1, 1, True), ("c", 1, 0, False)}
+    assert {tuple(r) for r in jobs.run_progress(sent, got).collect()} == {("a", 2, 1, False), ("b", 1, 1, True), ("c", 1, 0, False), ("d", 0, 0, True)}

@@ -80,7 +80,7 @@ def test_prompts_and_listing(spark, tmp_path):
     got = {r.prompt_version: r.text for r in readers.prompts(spark, f"{tmp_path}/p").collect()}
     assert got["prompt_v2.txt"] == "line one\nline {language_code}\n" and "report.md" not in got
     files = {os.path.basename(r.path): r.length for r in readers.file_listing(spark, f"{tmp_path}/p").collect()}
-    assert files == {"prompt_v2.txt": 30, "report.md": 2}  # Spark skips the empty file
+    assert files == {"prompt_v2.txt": 30, "report.md": 2, "prompt_v3_en.txt": 0} and got["prompt_v3_en.txt"] == ""
     assert readers.path_exists(spark, f"{tmp_path}/p") and not readers.path_exists(spark, f"{tmp_path}/q")
 
 
@@ -94,10 +94,20 @@ def test_request_sink_and_json_sink(spark, tmp_path):
 
 
 def test_append_runs(spark, tmp_path):
-    runs = spark.createDataFrame([("j1", 0.5)], "job_id string, wer double")
-    for _ in range(2):
-        sinks.append_runs(runs, f"{tmp_path}/runs")
-    assert spark.read.parquet(f"{tmp_path}/runs").count() == 2
+    schema = "job_id string, local_inference_csv_path string, log_file string, log_row long"
+    for jobs in ([("b", "/b", "x/log1.json", 2), ("a", "/a", "x/log1.json", 1)], [("c", "/c", "x/log2.json", 0)]):
+        sinks.append_runs(spark.createDataFrame(jobs, schema), f"{tmp_path}/runs")
+    got = spark.read.parquet(f"{tmp_path}/runs").select("run_seq", "job_id", "LOG_FILE").orderBy("run_seq").collect()
+    assert [tuple(r) for r in got] == [(1, "a", "log1.json"), (2, "b", "log1.json"), (3, "c", "log2.json")]
+
+
+def test_response_lines_keep_the_order_inside_a_file(spark, tmp_path):
+    from echoscore.plans import evaluate
+
+    write(f"{tmp_path}/in/job_id=j%201/a.jsonl", "\n".join([line("u1", "zeta"), "", line("u2", "x"), line("u1", "alpha")]))
+    lines = readers.response_lines(spark, f"{tmp_path}/in")
+    got = {tuple(r) for r in evaluate.predictions(lines).collect()}
+    assert got == {("j 1", "u1", "alpha"), ("j 1", "u2", "x")}
 
 
 def test_staged_small_table_is_broadcast(spark, tmp_path):
@@ -145,8 +155,7 @@ def test_stream_scores_new_files_once_and_keeps_the_last_answer(spark, tmp_path,
     landing, out, progress = (f"{tmp_path}/{x}" for x in ("landing", "out", "progress"))
 
     def run():
-        scored = streaming.scored_stream(streaming.response_stream(spark, landing), expected)
-        streaming.start(scored, out, progress).awaitTermination()
+        streaming.start(streaming.response_stream(spark, landing), expected, out, progress).awaitTermination()
         return {r.job_id: (r.n_scored, r.wer, r.complete) for r in streaming.current_summary(spark, out, expected).collect()}
 
     write(f"{landing}/job_id=j1/a.jsonl", "\n".join([line("u1", "one too"), "", "broken", line("u9", "unknown")]))
@@ -160,6 +169,14 @@ def test_stream_scores_new_files_once_and_keeps_the_last_answer(spark, tmp_path,
     before = spark.read.schema(streaming.SCORES).parquet(out).count()
     assert run() == {"j1": (2, 0.25, True), "j 2": (1, 0.0, True)}  # nothing new: nothing scored
     assert spark.read.schema(streaming.SCORES).parquet(out).count() == before == 4
+    assert [(r.job_id, r.raw) for r in streaming.malformed_lines(spark, out).collect()] == [("j1", "broken")]
+
+
+def test_last_answer_of_a_file_is_its_last_line(spark, tmp_path, expected):
+    write(f"{tmp_path}/in/job_id=j1/a.jsonl", "\n".join([line("u1", "zeta"), line("u2", "three four"), line("u1", "alpha")]))
+    streaming.start(streaming.response_stream(spark, f"{tmp_path}/in"), expected, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    got = {r.gcs_uri: r.prediction for r in streaming.current_scores(spark, f"{tmp_path}/out").collect()}
+    assert got == {"u1": "alpha", "u2": "three four"}
 
 
 def test_stream_agrees_with_batch(spark, tmp_path, expected):
@@ -168,8 +185,8 @@ def test_stream_agrees_with_batch(spark, tmp_path, expected):
     answers = {("j1", "u1"): "one", ("j1", "u2"): "x four [EOT]", ("j 2", "u1"): ""}
     for n, ((job, uri), text) in enumerate(answers.items()):
         write(f"{tmp_path}/in/job_id={job.replace(' ', '%20')}/{n}.jsonl", line(uri, text))
-    scored = streaming.scored_stream(streaming.response_stream(spark, f"{tmp_path}/in", 1), expected)
-    streaming.start(scored, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    arriving = streaming.response_stream(spark, f"{tmp_path}/in", 1)
+    streaming.start(arriving, expected, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     got = {r.job_id: (r.wer, r.cer) for r in streaming.current_summary(spark, f"{tmp_path}/out", expected).collect()}
     text = F.udf(lambda j, u: answers[(j, u)])
     batch = corpus_rates(expected.withColumn("prediction", text("job_id", "gcs_uri")), ["job_id"])

@@ -28,7 +28,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind: string, start: int, end: int, base: boolean>>"
-MAX_DOCS, MAX_PIECES = 20_000, 400
+MAX_DOCS, MAX_PIECES = 20_000, 300
 REACH, LONGEST = 160, 24
 
 # The base patterns. Possessive runs and the look-behind change no match, they only keep long
@@ -102,7 +102,9 @@ def _alnum(c: str) -> bool:
 
 
 def features(span: str, left: str, right: str) -> list[int]:
-    """Numbers of the whole-span features that hold."""
+    """Numbers of the whole-span features that hold; ``left`` and ``right`` are up to two characters beside the span."""
+    goes_on = right[:1] == "." and _alnum(right[1:])
+    left, right = left[-1:], right[:1]
     digits = _digits(span)
     n, dots = len(digits), span.count(".")
     local, at, domain = span.partition("@")
@@ -137,12 +139,14 @@ def features(span: str, left: str, right: str) -> list[int]:
         out.append(37)
     if not numeric and " " in span:
         out.append(38)
+    if goes_on:
+        out.append(40)
     if not (_alnum(span[-1]) and (_alnum(span[0]) or span[0] in "+(")):
         out.append(39)
     return out
 
 
-FEATURES = 40
+FEATURES = 41
 
 
 def segments(text: str, starts: np.ndarray) -> list[tuple[int, int, list[int]]]:
@@ -162,7 +166,7 @@ def segments(text: str, starts: np.ndarray) -> list[tuple[int, int, list[int]]]:
                 break
             if anchor[j] > anchor[i] and _alnum(kind[j - 1]):
                 a, b = int(starts[i]), int(starts[j])
-                out.append((i, j, features(text[a:b], text[a - 1 : a], text[b : b + 1])))
+                out.append((i, j, features(text[a:b], text[max(0, a - 2) : a], text[b : b + 2])))
     return out
 
 

@@ -13,7 +13,7 @@ from echoscore.operators.indexing import chunked, sample_index
 from echoscore.plans import evaluate, improve, standins as V
 from echoscore.session import shared_folder
 from echoscore.sources import sinks
-from echoscore.sources.readers import spread, table
+from echoscore.sources.readers import job_logs, response_lines, spread, table
 from echoscore.sources.schemas import CRITIQUE_FIELDS
 from echoscore.sources.stage import staged
 from echoscore.streaming import scoring as streaming
@@ -74,6 +74,34 @@ def evaluation_summary(spark, d):
     return _rounded(summary.drop("job_id", *scoring.COUNTS), "wer", "cer")
 
 
+@query
+def run_table(spark, d):
+    """From files to the run table: response files and job logs written, read, scored and appended in two
+    rounds, the second over all logs; then the newest run of each setting and the best of each language."""
+    base = shared_folder(spark, "runs")
+    lines = V.response_lines(spark, d).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(8)))
+    # all lines of a request go to one file, in the order of the attempts
+    ordered = lines.repartition("job_id", "_part").sortWithinPartitions("job_id", "_part", "seq")
+    ordered.select("job_id", F.col("raw").alias("value")).write.partitionBy("job_id").text(f"{base}/answers")
+    turns = V.turns(spark, d)
+    noisy = turns.where(F.col("group") != "silence").withColumnRenamed("group", "group_name")
+    silence = turns.where(F.col("group") == "silence")
+    logged = V.jobs(spark, d).withColumn("job_name", F.col("job_id")).drop("job_id", "kind")
+    first = F.col("lang").isin("es", "fr")
+    done = spark.createDataFrame([], "local_inference_csv_path string")
+    for number, some in ((1, logged.where(first)), (2, logged)):
+        sinks.json(some, f"{base}/logs/round={number}")
+        jobs_ = job_logs(spark, f"{base}/logs/round=*", arrays=False).withColumn("job_id", T.basename(F.col("gcs_output_base_uri")))
+        summary = evaluate.run_summary(jobs_, done, noisy, silence, response_lines(spark, f"{base}/answers"))
+        sinks.append_runs(summary.withColumn("round", F.lit(number)), f"{base}/table")
+        done = spark.read.parquet(f"{base}/table")
+    newest = runs.latest_run(done, SETTING)
+    best = runs.best_run_per_lang(newest).select("run_seq", F.lit(True).alias("best"))
+    flagged = newest.join(best, "run_seq", "left").withColumn("best", F.coalesce("best", F.lit(False)))
+    named = flagged.withColumn("logged", F.col("LOG_FILE").endswith(".json"))
+    return _rounded(named.select(*SETTING, "round", "n_scored", "wer", "cer", "best", "logged"), "wer", "cer")
+
+
 # --- samples --------------------------------------------------------------------------------
 
 

@@ -231,6 +231,14 @@ select {SETTING}, '/results/evaluation_' || "group" || '_' || lang || '_' || mod
   count(*) as n_scored, round(sum(word_edits)::double / sum(ref_words)::double, 6) as wer, round(sum(char_edits)::double / sum(ref_chars)::double, 6) as cer
 from scored where ref_chars is not null and lang <> 'es' group by {SETTING}"""
 
+ORACLE["run_table"] = CORPUS_SCORED + f""", summary_ as (
+  select {SETTING}, case when lang in ('es', 'fr') then 1 else 2 end as round, count(*) as n_scored,
+    sum(word_edits)::double / sum(ref_words)::double as w, sum(char_edits)::double / sum(ref_chars)::double as c
+  from scored where ref_chars is not null group by {SETTING}),
+ranked as (
+  select *, "group" = 'test' and row_number() over (partition by lang, "group" order by c, w) = 1 as best from summary_)
+select {SETTING}, round, n_scored, round(w, 6) as wer, round(c, 6) as cer, best, true as logged from ranked"""
+
 # --- samples --------------------------------------------------------------------------------
 
 ORACLE["ingest_union"] = """with raw as (

@@ -84,14 +84,14 @@ def json_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def response_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Response files of many jobs, laid out as ``<folder>/.../job_id=<job>/...jsonl``: (job_id, file, seq, raw).
+    """Response files of many jobs, laid out as ``<folder>/.../job_id=<job>/*.jsonl`` (or ``.txt``): (job_id, file, seq, raw).
 
     ``seq`` is the line's place in its file, the offset of the file split and an id that grows inside
     it, so the last answer of a file is the last line.
     """
     path = _file_path()
     return (
-        spark.read.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).text(folder)
+        spark.read.option("pathGlobFilter", "*.{jsonl,txt}").option("recursiveFileLookup", True).text(folder)
         .select(
             # folder names of partitions have their special characters escaped once more
             url_unquote(F.regexp_extract(path, r"/job_id=([^/]+)/", 1)).alias("job_id"), path.alias("file"),

@@ -3,18 +3,20 @@
 A document's set holds the hashes of its distinct word shingles (fewer words than a shingle: the whole sequence; no words:
 empty, linked with nothing). Two documents are linked when 100 * intersection >= percent * union.
 
-1. Equal sets become one class, whose sketch holds the k smallest hashes.
-2. Inverted lists of sketch values. A linked pair shares at least ``need`` of k values, hence one of each side's
-   ``k - need + 1`` rarest: only these enter lists, values of a single class never do. Passages that many documents share are
-   frequent and come last, so they enter for classes that consist of little else.
-3. In every list all classes meet its smallest one. What the links found so far do not connect meets pairwise, inside the
-   list and among sizes that can reach the threshold. Every pair that shares a list is thus linked, known to be connected,
-   or compared; a group of n near copies costs about n comparisons.
+1. Equal sets become one class. Its sketch holds the k smallest hashes, of sets of up to ``WHOLE`` hashes all.
+2. Inverted lists of sketch values, one scheme for pairs of whole sets and one for pairs with a larger set. A linked pair has
+   few values that are not common, so the rarest common one stands near the front of both, by rarity: only that
+   front enters lists, and values of a single class never do. Passages that many documents share are frequent and come
+   last, so they enter for classes that consist of little else.
+3. A pair in a list is a candidate if the value's places allow a link of sets of these two sizes (``_within``). In every list all
+   classes meet the foremost one; what the links found so far do not connect meets pairwise. So each candidate pair is
+   compared or known to be connected, and a group of n near copies costs about n comparisons.
 4. A pair is dropped if its union sketch shows fewer than ``need`` common values, else its full sets are compared.
 
-Sets up to about 0.85 k are handled exactly by (2). For larger ones ``need`` lies six standard deviations below the expected
-overlap of a pair at the threshold: such a pair is missed with a probability below 1e-7. Links are never made without
-comparing the full sets. Components come from ``components``, nothing is collected.
+For pairs of whole sets the places are bounds, so none is lost. With a larger set, the values that are not common
+follow a binomial distribution, whose mean plus ``SIGMAS`` standard deviations is allowed: a pair exactly at the threshold is missed
+with a probability of some 1e-5, one above it with far less. Links are never made without comparing the full
+sets. Components come from ``components``, nothing is collected.
 
 NULL and empty texts form their own component. Rows that repeat a document are one class. Rows whose id is NULL take
 part, but never give a component its id. Other columns are ignored; an empty table gives no rows.
@@ -38,13 +40,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WIDTH = 5
 PERCENT = 85
-SKETCH = 64
+SKETCH = 96
+WHOLE = 200
+SIGMAS = 4.5
 
 
-def need(sketch: int = SKETCH, percent: int = PERCENT, sigmas: float = 6.0) -> int:
-    """Common values that the union sketch of a pair at the threshold has but for a chance below 1e-7."""
+def need(sketch: int = SKETCH, percent: int = PERCENT, sigmas: float = SIGMAS) -> int:
+    """Common values that the union sketch of a pair at the threshold has but for a small chance."""
     p = percent / 100
-    return max(1, int(sketch * p - sigmas * (sketch * p * (1 - p)) ** 0.5) + 1)
+    return max(1, int(sketch * p - sigmas * (sketch * p * (1 - p)) ** 0.5))
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
@@ -89,7 +93,7 @@ def _profiles(docs: DataFrame, width: int, sketch: int, full: bool) -> DataFrame
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()),
-                    pa.array([s if full else s[:sketch] for s in sets], pa.list_(pa.int64())),
+                    pa.array([s if full or len(s) <= WHOLE else s[:sketch] for s in sets], pa.list_(pa.int64())),
                 ],
                 ["id", "text_hash", "n", "node", "sketch"],
             )
@@ -102,17 +106,42 @@ def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _others(share: Column | float, sketch: int) -> Column:
+    """Values of a sketch that are not in the other one, if that is ``share`` of the set, but for a small chance."""
+    share = F.lit(share) if isinstance(share, float) else share
+    return share * sketch + SIGMAS * F.sqrt(share * (1 - share) * sketch)
+
+
+def _within(n: Column, other: Column, place: Column, whole: Column, sketch: int, percent: int) -> Column:
+    """Whether a pair of sets of sizes ``n`` and ``other`` can be linked if its rarest common value has this place
+    (from 0) in the set of size ``n``: everything before it is not common."""
+    common = (n + other) * percent / (100.0 + percent)
+    exact = place <= n - F.ceil(common - 1e-9)
+    # the sketch that ends first decides, which is that of the larger share of other values
+    return F.when(whole, exact).otherwise(place <= _others(1 - common / F.greatest(n, other), sketch))
+
+
 def postings(classes: DataFrame, sketch: int = SKETCH, percent: int = PERCENT) -> DataFrame:
-    """(value, node, n): the rarest sketch values of each class, among those of two classes or more."""
-    values = classes.select("node", "n", F.explode("sketch").alias("value"))
-    counts = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    own = values.join(counts, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"))
-    held = F.least("n", F.lit(sketch))
-    exact = F.ceil(F.col("n") * percent / 100).cast("int")
-    # a set that fits the sketch may face one that does not
-    common = F.when(F.col("n") * 100 < sketch * percent, exact).otherwise(F.least(exact, F.lit(need(sketch, percent))))
-    prefix = (held - common + 1 - (held - F.size("own"))).cast("int")
-    return own.where(prefix > 0).select("node", "n", F.explode(F.slice("own", F.lit(1), prefix)).alias("p")).select("p.value", "node", "n")
+    """(value, whole, place, node, n): the rarest values of each class among those of two classes or more."""
+    smallest = WHOLE + 1  # a set that may face a larger one than WHOLE has at least percent of this
+    whole = F.when(F.col("n") <= WHOLE, F.struct(F.lit(True).alias("whole"), F.col("sketch").alias("values")))
+    cut = F.when(F.col("n") * 100 >= smallest * percent, F.struct(F.lit(False).alias("whole"), F.slice("sketch", 1, sketch).alias("values")))
+    schemes = classes.select("node", "n", F.explode(F.filter(F.array(whole, cut), lambda s: s.isNotNull())).alias("s"))
+    values = schemes.select("node", "n", "s.whole", F.explode("s.values").alias("value"))
+    counts = values.groupBy("whole", "value").agg(F.count("*").alias("df")).where("df > 1")
+    own = values.join(counts, ["whole", "value"]).groupBy("node", "n", "whole").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"))
+    alone = F.when(F.col("whole"), F.col("n")).otherwise(F.lit(sketch)).cast("int") - F.size("own")
+    share = 1 - percent / 100
+    front = F.when(F.col("whole"), F.floor(F.col("n") * (100 - percent) / 100)).otherwise(F.floor(_others(share, sketch))).cast("int") + 1 - alone
+    placed = own.where(front > 0).select("node", "n", "whole", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), front)).alias("at", "v"))
+    return placed.select("v.value", "whole", (F.col("at") + F.col("alone")).alias("place"), "node", "n")
+
+
+def _candidates(x: str, y: str, sketch: int, percent: int) -> Column:
+    """Whether the rows ``x`` and ``y`` of a list can be linked."""
+    n, other, whole = F.col(f"{x}n"), F.col(f"{y}n"), F.col("whole")
+    both = [_within(a, b, F.col(f"{s}place"), whole, sketch, percent) for a, b, s in ((n, other, x), (other, n, y))]
+    return _similar_sizes(n, other, percent) & both[0] & both[1]
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, profiles: DataFrame, width: int, sketch: int, percent: int) -> DataFrame:
@@ -123,10 +152,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, profiles: D
     sketches = profiles.join(wanted, ["node", "id"], "left_semi").select("node", "sketch").dropDuplicates(["node"])
     side = lambda t, name, column: t.select(F.col("node").alias(name), F.col("sketch").alias(column))
     both = pairs.join(side(sketches, "a", "sa"), "a").join(side(sketches, "b", "sb"), "b")
+    # a cut sketch has ``sketch`` values, so an array of another length is a whole set
+    cut = (F.size("sa") == sketch) | (F.size("sb") == sketch)
+    first = lambda c: F.when(cut, F.slice(c, 1, sketch)).otherwise(F.col(c))
+    both = both.select("a", "b", cut.alias("cut"), first("sa").alias("sa"), first("sb").alias("sb"))
+    shared = both.select("*", F.array_intersect("sa", "sb").alias("shared"))
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, sketch)
-    seen = both.select("a", "b", F.size(union).alias("size"), F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))).alias("common"))
-    enough = F.when(F.col("size") < sketch, F.col("common") * 100 >= F.col("size") * percent).otherwise(F.col("common") >= need(sketch, percent))
-    likely = staged(seen.where(enough).select("a", "b"), "likely")
+    size = F.size("sa") + F.size("sb") - F.size("shared")
+    in_sketch = F.size(F.array_intersect(union, F.col("shared"))) >= need(sketch, percent)
+    enough = F.when(F.col("cut") & (size >= sketch), in_sketch).otherwise(F.size("shared") * 100 >= size * percent)
+    likely = staged(shared.where(enough).select("a", "b"), "likely")
     wanted = classes.join(nodes(likely), "node", "left_semi").select("node", "id")
     texts = docs.join(wanted.select("id").distinct(), "id", "left_semi")
     sets = _profiles(texts, width, sketch, True).join(wanted, ["node", "id"], "left_semi").select("node", "sketch").dropDuplicates(["node"])
@@ -151,21 +186,24 @@ def near_duplicates(
     one_each = known.groupBy("node").agg(F.min("n").alias("n"), F.first("sketch").alias("sketch"))
     lists = staged(postings(one_each, sketch, percent), "lists")
 
-    leaders = lists.groupBy("value").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("size")).where("size > 1")
-    met = lists.join(leaders, "value").where((F.col("node") != F.col("first.node")) & _similar_sizes(F.col("n"), F.col("first.n"), percent))
-    met = met.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+    key = ["value", "whole"]
+    # the foremost class has the fewest values of its own, so it is in the middle of a group of near copies
+    leaders = lists.groupBy(*key).agg(F.min(F.struct("place", "node", "n")).alias("first"), F.count("*").alias("size")).where("size > 1")
+    met = lists.join(leaders, key).where((F.col("node") != F.col("first.node")) & _candidates("", "first.", sketch, percent))
+    met = met.select(F.least("first.node", "node").alias("a"), F.greatest("first.node", "node").alias("b")).distinct()
     links = staged(_verified(met, docs, classes, known, width, sketch, percent), "found")
     labels = components(links)
 
     # Lists whose classes are not all connected yet.
     lists = _labelled(lists, labels)
-    open_ = lists.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("value")
+    open_ = lists.groupBy(*key).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select(*key)
     # a step of this size class is at most the ratio two linked sets can have
     size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("int")
-    left = staged(lists.join(open_, "value", "left_semi").withColumn("size_class", size_class), "open")
-    to = left.select("value", F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)).alias("size_class"), F.struct("node", "n", "label", "size_class").alias("y"))
-    more = left.join(to, ["value", "size_class"]).where(
-        (F.col("label") != F.col("y.label")) & _similar_sizes(F.col("n"), F.col("y.n"), percent)
+    left = staged(lists.join(open_, key, "left_semi").withColumn("size_class", size_class), "open")
+    facing = F.struct("node", "n", "place", "label", "size_class").alias("y")
+    to = left.select(*key, F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)).alias("size_class"), facing)
+    more = left.join(to, [*key, "size_class"]).where(
+        (F.col("label") != F.col("y.label")) & _candidates("", "y.", sketch, percent)
         & ((F.col("y.size_class") < F.col("size_class")) | (F.col("y.node") < F.col("node")))
     )
     more = more.select(F.least("node", "y.node").alias("a"), F.greatest("node", "y.node").alias("b")).distinct()

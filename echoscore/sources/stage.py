@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from echoscore.session import shared_folder
 
+_written: list[str] = []
+
 
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` below ``spark.checkpoint.dir`` and read it back.
@@ -16,5 +18,15 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     above runs once however often the result is used, and a lost executor does not repeat it.
     """
     folder = shared_folder(df.sparkSession, purpose)
+    _written.append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the folders that ``staged`` wrote in this process; results that read them must be finished."""
+    count = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        count += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return count

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import DataFrameWriter
 
 import __spark_entry__ as entry_point
 from echoscore.plans.catalog import QUERIES
@@ -50,9 +51,29 @@ def test_scoring_runs_once(spark, name):
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
-def test_no_cartesian_plans(spark, name):
-    text = plan(spark, name)
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+def test_no_cartesian_plans(spark, name, monkeypatch):
+    """Neither in the result's plan nor in those of the tables that are staged on the way."""
+    plans, write = [], DataFrameWriter.parquet
+
+    def recorded(writer, *args, **kwargs):
+        plans.append(writer._df._jdf.queryExecution().executedPlan().toString())
+        return write(writer, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", recorded)
+    plans.append(plan(spark, name))
+    assert not any("CartesianProduct" in text or "BroadcastNestedLoopJoin" in text for text in plans)
+
+
+def test_staged_plans_score_once(spark, monkeypatch):
+    plans, write = [], DataFrameWriter.parquet
+
+    def recorded(writer, *args, **kwargs):
+        plans.append(writer._df._jdf.queryExecution().executedPlan().toString())
+        return write(writer, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", recorded)
+    entry_point.queries()["worst_cases"](spark, SF)
+    assert [text.count("ArrowEvalPython") for text in plans] == [1]
 
 
 def test_scans_read_only_what_is_used(spark):

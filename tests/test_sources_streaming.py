@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from echoscore.operators import samples
 from echoscore.session import shared_folder
 from echoscore.sources import readers, schemas, sinks
-from echoscore.sources.stage import staged
+from echoscore.sources.stage import drop_staged, staged
 from echoscore.streaming import scoring as streaming
 
 
@@ -119,6 +119,13 @@ def test_staged_small_table_is_broadcast(spark, tmp_path):
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
 
 
+def test_staged_folders_can_be_dropped(spark):
+    drop_staged(spark)
+    kept = staged(spark.range(3), "t").inputFiles()
+    assert drop_staged(spark) == 1 and drop_staged(spark) == 0
+    assert not readers.path_exists(spark, kept[0])
+
+
 def test_shared_folder_comes_from_the_session(spark):
     a, b = shared_folder(spark, "x"), shared_folder(spark, "x")
     assert a != b and a.startswith(spark.conf.get("spark.checkpoint.dir"))

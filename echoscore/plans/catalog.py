@@ -13,8 +13,8 @@ from echoscore.operators.indexing import chunked, sample_index
 from echoscore.plans import evaluate, improve, standins as V
 from echoscore.session import shared_folder
 from echoscore.sources import sinks
-from echoscore.sources.readers import job_logs, response_lines, spread, table
-from echoscore.sources.schemas import CRITIQUE_FIELDS
+from echoscore.sources.readers import job_logs, response_lines, spread, summary_csv, table
+from echoscore.sources.schemas import CRITIQUE_FIELDS, RUN_SUMMARY_TEXT
 from echoscore.sources.stage import staged
 from echoscore.streaming import scoring as streaming
 
@@ -371,6 +371,16 @@ def stream_scores(spark, d):
     return _rounded(streaming.current_summary(spark, f"{base}/scores", expected), "wer", "cer")
 
 
+@query
+def summary_files(spark, d):
+    """The run summary written as CSV files and read back, whatever the metric columns hold."""
+    folder = shared_folder(spark, "summary")
+    columns = [c.split()[0].strip("`") for c in RUN_SUMMARY_TEXT.split(", ")]
+    sinks.csv(V.runs(spark, d).withColumn("LOG_FILE", F.col("run_seq").cast("string")).select(*columns), folder)
+    read = runs.parse_metrics(summary_csv(spark, folder))
+    return read.select(F.col("LOG_FILE").cast("long").alias("run_seq"), *SETTING, "wer", "cer")
+
+
 # --- run selection --------------------------------------------------------------------------
 
 RUN_OUT = ["run_seq", "lang", "group", "model", "config", "prompt_version", "wer", "cer"]
@@ -619,6 +629,11 @@ def noise_mix(spark, d):
     return _samples_out(mixed, A.mix(F.col("main"), F.col("samples"), F.col("gain")))
 
 
+@query
+def usable_clips(spark, d):
+    return V.noise_clips(spark, d).select("noise_id", A.usable(F.col("samples")).alias("usable"))
+
+
 @query
 def silence_insert(spark, d):
     positions = F.explode(F.array(F.lit("front"), F.lit("middle"), F.lit("back"))).alias("position")

@@ -352,6 +352,8 @@ ORACLE["incremental_runs"] = _LOG + """
 select run_seq, lang, "group", result_path as local_inference_csv_path from log
 where prompt_version is not null and run_seq not in (select l_orderkey from lineitem where l_returnflag = 'R')"""
 
+ORACLE["summary_files"] = f"with {RUNS} select run_seq, {SETTING}, wer, cer from runs"
+
 # --- run selection --------------------------------------------------------------------------
 
 ORACLE["dedup_last"] = f"with {RUNS} " + first_of(
@@ -548,6 +550,7 @@ ORACLE["noise_gain"] = _MIXED + " select id, noise_id, round(gain, 6) as gain fr
 ORACLE["noise_mix"] = _MIXED + """
 select id, (pos - 1)::int as pos, round(greatest(-1.0, least(1.0, x::double + gain * samples[((pos - 1) % len(samples)) + 1]::double))::float::double, 4) as sample
 from (select id, gain, samples, unnest(main) as x, generate_subscripts(main, 1) as pos from mixed)"""
+ORACLE["usable_clips"] = "select 'noise' || vec_id as noise_id, vec_id % 10 not in (3, 5, 7) as usable from embeddings"
 ORACLE["silence_insert"] = f"""with {_CLIPS}, gap as (select list_transform(range(16), lambda i: 0.0::float) as z), placed as (
   select id, 'front' as position, list_concat(z, main) as c from clips, gap
   union all select id, 'middle', list_concat(list_concat(main[1:len(main) // 2], z), main[len(main) // 2 + 1:]) from clips, gap

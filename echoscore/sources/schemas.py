@@ -5,11 +5,6 @@ CORPUS = (
     "num_samples long, gender string"
 )
 SAMPLES = "id long, transcription string, file_path string, lang string, `group` string"
-LABELLED = SAMPLES + ", medical_yn boolean"
-NOISY = LABELLED + ", group_name string, noisy_output_path string, noise_id string"
-SILENCE = LABELLED + ", silence_position string, silence_output_path string"
-NOISY_WITH_URI = NOISY + ", gcs_uri string"
-SILENCE_WITH_URI = SILENCE + ", gcs_uri string"
 
 GENERATION_CONFIG = "struct<audio_timestamp: boolean, temperature: double, topK: int, topP: double>"
 CONTENTS = (
@@ -33,7 +28,3 @@ RUN_SUMMARY_TEXT = RUN_SUMMARY.replace("double", "string")
 
 CRITIQUE_FIELDS = ("error_pattern", "affected_cases", "reason_for_failure", "generalizable_improvement")
 CRITIQUES = "array<struct<" + ", ".join(f"{f}: string" for f in CRITIQUE_FIELDS) + ">>"
-CRITICS = (
-    "lang string, `group` string, model string, config string, prompt_version string, "
-    + ", ".join(f"{f} string" for f in CRITIQUE_FIELDS)
-)

@@ -365,7 +365,7 @@ def stream_scores(spark, d):
     expected = V.transcripts(spark, d).select("job_id", "gcs_uri", "id", "transcription")
     lines = V.response_lines(spark, d)
     for wave in (1, 2):
-        sinks.requests(lines.where(F.col("seq") == wave), f"{base}/landing/wave={wave}", line_col="raw", files_per_job=2)
+        sinks.requests(lines.where(F.col("seq") == wave), f"{base}/landing/wave={wave}", line_col="raw")
         arriving = streaming.response_stream(spark, f"{base}/landing")
         streaming.start(arriving, expected, f"{base}/scores", f"{base}/progress").awaitTermination()
     return _rounded(streaming.current_summary(spark, f"{base}/scores", expected), "wer", "cer")

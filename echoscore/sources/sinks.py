@@ -7,16 +7,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 from echoscore.sources.readers import path_exists
 
 
-def requests(
-    df: DataFrame, folder: str, job_col: str = "job_id", line_col: str = "line", files_per_job: int = 8
-) -> None:
+def requests(df: DataFrame, folder: str, job_col: str = "job_id", line_col: str = "line") -> None:
     """Request lines as JSONL below one folder per job.
 
-    Each job is spread over ``files_per_job`` tasks and files, however many lines it has.
+    Lines are dealt by job and rebalanced: AQE splits a job above the advisory partition size over as
+    many tasks and files as it needs, and small jobs share a task.
     """
     lines = df.select(job_col, F.col(line_col).alias("value"))
-    part = F.pmod(F.xxhash64("value"), F.lit(files_per_job))
-    lines.repartition(job_col, part).write.partitionBy(job_col).text(folder)
+    lines.hint("rebalance", job_col).write.partitionBy(job_col).text(folder)
 
 
 def csv(df: DataFrame, folder: str) -> None:

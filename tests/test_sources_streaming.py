@@ -86,7 +86,7 @@ def test_prompts_and_listing(spark, tmp_path):
 
 def test_request_sink_and_json_sink(spark, tmp_path):
     df = spark.createDataFrame([(f"job{i % 2}", json.dumps({"i": i})) for i in range(40)], "job_id string, line string")
-    sinks.requests(df, f"{tmp_path}/req", files_per_job=3)
+    sinks.requests(df, f"{tmp_path}/req")
     assert {d for d in os.listdir(f"{tmp_path}/req") if d.startswith("job")} == {"job_id=job0", "job_id=job1"}
     assert spark.read.text(f"{tmp_path}/req").count() == 40
     sinks.json(spark.createDataFrame([(1, None)], "a int, b string"), f"{tmp_path}/json")

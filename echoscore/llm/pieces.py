@@ -29,7 +29,7 @@ from echoscore.llm.worker import kept
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MARK = "▁"
-KEPT, KEPT_LENGTH, PAIRS = 250_000, 48, 1_000_000
+KEPT, KEPT_LENGTH, PAIRS = 200_000, 48, 1_000_000
 
 
 class Pieces:
@@ -48,7 +48,9 @@ class Pieces:
         names = [lib.id_to_piece(i) for i in range(size)]
         plain = [i for i in range(size) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))]
         self.id = {names[i]: i for i in plain}
-        self.text = {i: names[i] for i in plain}
+        self.shown = {i: names[i].replace(MARK, " ") for i in plain} | {i: "" for i in range(size) if lib.is_control(i)}
+        self.marked = {i for i in plain if names[i].startswith(MARK)}
+        self.shown |= {i: " ⁇ " for i in range(size) if lib.is_unknown(i)}
         self.rank = {names[i]: -lib.get_score(i) for i in plain}
         self.bytes = {i: int(names[i][3:-1], 16) for i in range(size) if lib.is_byte(i)}
         self.byte_id = {b: i for i, b in self.bytes.items()}
@@ -68,6 +70,7 @@ class Pieces:
         self.pairs: dict[str, dict[str, bool]] = {}
         self.count = 0
         self.kept: dict[str, tuple[list[int], str]] = {}
+        self.older: dict[str, tuple[list[int], str]] = {}
 
     def _merged(self, text: str) -> list[str]:
         """The pieces of a short text by merging itself."""
@@ -107,7 +110,7 @@ class Pieces:
             while k >= 0:
                 piece = options[k]
                 k -= 1
-                if failed >> (at + len(piece)) & 1:
+                if failed and failed >> (at + len(piece)) & 1:
                     continue
                 if chosen:
                     answer = answers.get(piece)
@@ -131,7 +134,7 @@ class Pieces:
 
     def _segment(self, text: str) -> tuple[list[int], str]:
         """Ids and surface, from the kept results if there are any."""
-        found = self.kept.get(text)
+        found = self.kept.get(text) or self.older.get(text)
         if found is None:
             inner = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.joints]
             if inner:
@@ -140,10 +143,10 @@ class Pieces:
             else:
                 ids = self._matched(text)
                 found = ids, self.decode_pieces(ids)
-            if len(text) <= KEPT_LENGTH:
-                if len(self.kept) >= KEPT:
-                    self.kept.clear()
-                self.kept[text] = found
+        if len(text) <= KEPT_LENGTH:
+            if len(self.kept) >= KEPT:  # what was not asked for since the last change goes
+                self.older, self.kept = self.kept, {}
+            self.kept[text] = found
         return found
 
     def normalized(self, text: str) -> str:
@@ -153,15 +156,16 @@ class Pieces:
         """The ids of a text, and the text they decode to."""
         ids: list[int] = []
         shown: list[str] = []
-        known = self.kept
         for segment in self.cut.findall(self.normalized(text)):
-            found = known.get(segment) or self._segment(segment)
+            found = self.kept.get(segment) or self._segment(segment)
             ids += found[0]
             shown.append(found[1])
         return ids, "".join(shown)[1:]
 
-    def decode_pieces(self, ids: Iterable[int]) -> str:
+    def decode_pieces(self, ids: list[int]) -> str:
         """Surface of the pieces, word marks as spaces. Bytes that are no UTF-8 become U+FFFD each, as in the library."""
+        if self.bytes.keys().isdisjoint(ids):
+            return "".join([self.shown[i] for i in ids])
         out, raw = [], bytearray()
 
         def flush() -> None:
@@ -185,14 +189,16 @@ class Pieces:
                 continue
             if raw:
                 flush()
-            out.append(self.text.get(i, "").replace(MARK, " "))
+            out.append(self.shown[i])
         if raw:
             flush()
         return "".join(out)
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: list[int]) -> str:
         """The text of any id list; the space that encoding puts first is taken off."""
-        return self.decode_pieces(ids).removeprefix(" ")
+        text = self.decode_pieces(ids)
+        first = next((i for i in ids if self.shown.get(i, "?")), None)
+        return text[1:] if first in self.marked else text
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

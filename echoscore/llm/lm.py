@@ -34,8 +34,8 @@ from echoscore.sources.stage import staged
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ORDER = 2
-BLOCK_BYTES = 16 << 20
-RANGE_TOKENS = 2_000_000
+BLOCK_BYTES = 8 << 20
+RANGE_TOKENS = 1_000_000
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 START = np.uint64(0x57A2757A2757A271)
 BUCKETS = 40

@@ -122,7 +122,8 @@ def _within(n: Column, other: Column, place: Column, whole: Column, sketch: int,
 
 
 def postings(classes: DataFrame, sketch: int = SKETCH, percent: int = PERCENT) -> DataFrame:
-    """(value, whole, place, node, n): the rarest values of each class among those of two classes or more."""
+    """(value, whole, place, before, node, n): the rarest values of each class among those of two classes or more,
+    and those of them that come before."""
     smallest = WHOLE + 1  # a set that may face a larger one than WHOLE has at least percent of this
     whole = F.when(F.col("n") <= WHOLE, F.struct(F.lit(True).alias("whole"), F.col("sketch").alias("values")))
     cut = F.when(F.col("n") * 100 >= smallest * percent, F.struct(F.lit(False).alias("whole"), F.slice("sketch", 1, sketch).alias("values")))
@@ -133,8 +134,9 @@ def postings(classes: DataFrame, sketch: int = SKETCH, percent: int = PERCENT) -
     alone = F.when(F.col("whole"), F.col("n")).otherwise(F.lit(sketch)).cast("int") - F.size("own")
     share = 1 - percent / 100
     front = F.when(F.col("whole"), F.floor(F.col("n") * (100 - percent) / 100)).otherwise(F.floor(_others(share, sketch))).cast("int") + 1 - alone
-    placed = own.where(front > 0).select("node", "n", "whole", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), front)).alias("at", "v"))
-    return placed.select("v.value", "whole", (F.col("at") + F.col("alone")).alias("place"), "node", "n")
+    fronts = own.where(front > 0).select("node", "n", "whole", alone.alias("alone"), F.slice("own", F.lit(1), front)["value"].alias("front"))
+    placed = fronts.select("*", F.posexplode("front").alias("at", "value"))
+    return placed.select("value", "whole", (F.col("at") + F.col("alone")).alias("place"), F.slice("front", F.lit(1), F.col("at")).alias("before"), "node", "n")
 
 
 def _candidates(x: str, y: str, sketch: int, percent: int) -> Column:
@@ -200,11 +202,12 @@ def near_duplicates(
     # a step of this size class is at most the ratio two linked sets can have
     size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("int")
     left = staged(lists.join(open_, key, "left_semi").withColumn("size_class", size_class), "open")
-    facing = F.struct("node", "n", "place", "label", "size_class").alias("y")
+    facing = F.struct("node", "n", "place", "before", "label", "size_class").alias("y")
     to = left.select(*key, F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)).alias("size_class"), facing)
     more = left.join(to, [*key, "size_class"]).where(
         (F.col("label") != F.col("y.label")) & _candidates("", "y.", sketch, percent)
         & ((F.col("y.size_class") < F.col("size_class")) | (F.col("y.node") < F.col("node")))
+        & ~F.arrays_overlap("before", "y.before")  # a pair counts in the list of its rarest common value
     )
     more = more.select(F.least("node", "y.node").alias("a"), F.greatest("node", "y.node").alias("b")).distinct()
     late = staged(_verified(more, docs, classes, known, width, sketch, percent), "found")

@@ -50,13 +50,18 @@ RULES = (
 )
 
 
+def _once(value: Column, fn) -> Column:
+    """``fn(value)`` with the value bound as a lambda's variable, the element of an array of one. It is evaluated once
+    per row, wherever the optimiser moves the expression; a column that a filter is pushed through would not be."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def _repeated(grams: Column) -> Column:
     """Words covered by windows of three whose hash occurs twice or more, from the array of window hashes.
 
     Hashes sorted together with their places put equal windows side by side; the places of windows with an
     equal neighbour, in order again, each cover three words minus what the next one covers too.
     """
-    pairs = F.array_sort(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     last = F.size(grams) - 1
 
     def covered(pairs: Column) -> Column:
@@ -70,42 +75,44 @@ def _repeated(grams: Column) -> Column:
         )
         return F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("end")), step, lambda acc: acc["n"])
 
-    # An array of one element binds a value for a lambda, so that the sort is evaluated once.
-    once = lambda value, fn: F.get(F.transform(F.array(value), fn), F.lit(0))
-    return once(once(pairs, covered), total)
-
-
-def measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` as one struct column ``row``, and the measures as long columns."""
-    lines = lambda: F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    spread = F.when(
-        F.size("words") > 2,
-        F.transform(F.slice("words", 1, F.size("words") - 2), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))),
-    ).otherwise(F.array().cast("array<bigint>"))
-    length_without = lambda chars: F.length("text") - F.length(F.translate("text", chars, ""))
-    return (
-        df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-        .select("row", "text", F.array_remove(F.split("text", BLANK), "").alias("words"), lines().alias("lines"))
-        .select("*", spread.alias("grams"))
-        .select(
-            "row",
-            F.size("words").cast("long").alias("n_words"),
-            F.length(F.regexp_replace("text", BLANK, "")).cast("long").alias("word_chars"),
-            length_without(SYMBOLS).cast("long").alias("n_symbols"),
-            length_without("!").cast("long").alias("n_exclamations"),
-            F.size("lines").cast("long").alias("n_lines"),
-            (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-            F.size(F.filter("words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
-            F.when(F.size(F.array_distinct("grams")) < F.size("grams"), _repeated(F.col("grams"))).otherwise(0).cast("long").alias("n_repeat_words"),
-        )
-    )
+    pairs = F.array_sort(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return _once(_once(pairs, covered), total)
+
+
+def _repeat_words(words: Column) -> Column:
+    three = lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))
+    grams = F.when(F.size(words) > 2, F.transform(F.slice(words, F.lit(1), F.size(words) - 2), three)).otherwise(F.array().cast("array<bigint>"))
+    return _once(grams, lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), _repeated(g)).otherwise(0))
+
+
+def measures(text: Column) -> Column:
+    """Struct of all measures (long) of a text."""
+    text = F.coalesce(text, F.lit(""))
+    length_without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
+
+    def of(words: Column, lines: Column) -> Column:
+        found = {
+            "n_words": F.size(words),
+            "word_chars": F.length(F.regexp_replace(text, BLANK, "")),
+            "n_symbols": length_without(SYMBOLS),
+            "n_exclamations": length_without("!"),
+            "n_lines": F.size(lines),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))),
+            "n_repeat_words": _repeat_words(words),
+        }
+        return F.struct(*[value.cast("long").alias(name) for name, value in found.items()])
+
+    words = F.array_remove(F.split(text, BLANK), "")
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    return _once(words, lambda w: _once(lines, lambda x: of(w, x)))
 
 
-def failed(rule: Rule) -> Column:
+def failed(rule: Rule, found: Column) -> Column:
     """True where the measures break the rule."""
-    part, whole = F.col(rule.part), F.lit(1)
+    part, whole = found[rule.part], F.lit(1)
     if rule.whole:
-        part, whole = part * 100, F.col(rule.whole)
+        part, whole = part * 100, found[rule.whole]
     broken = F.lit(False)
     if rule.low is not None:
         broken = broken | (part < whole * rule.low)
@@ -114,21 +121,24 @@ def failed(rule: Rule) -> Column:
     return broken
 
 
-def any_failed(rules: tuple[Rule, ...]) -> Column:
+def any_failed(rules: tuple[Rule, ...], found: Column) -> Column:
     out = F.lit(False)
     for rule in rules:
-        out = out | failed(rule)
+        out = out | failed(rule, found)
     return out
 
 
 def judged(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Measures plus ``base_failed``, ``kept`` and the names of all ``broken`` rules; ``row`` holds the input's columns."""
-    names = F.array(*[F.when(failed(r), F.lit(r.name)) for r in rules])
-    return measures(df, text).select(
-        "*", any_failed(BASE).alias("base_failed"), (~any_failed(rules)).alias("kept"), F.filter(names, lambda n: n.isNotNull()).alias("broken")
+    found = F.col("found")
+    names = F.array(*[F.when(failed(r, found), F.lit(r.name)) for r in rules])
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(whole.alias("row"), measures(F.col(f"`{text}`")).alias("found")).select(
+        "row", "found.*", any_failed(BASE, found).alias("base_failed"), (~any_failed(rules, found)).alias("kept"),
+        F.filter(names, lambda n: n.isNotNull()).alias("broken"),
     )
 
 
 def filtered(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``df`` that break no rule, with the columns of ``df``."""
-    return measures(df, text).where(~any_failed(rules)).select("row.*")
+    return df.where(_once(measures(F.col(f"`{text}`")), lambda found: ~any_failed(rules, found)))

@@ -48,6 +48,12 @@ def test_filter_keeps_columns_and_repeated_rows(spark):
     assert quality.filtered(docs.limit(0)).count() == 0
 
 
+def test_filter_is_linear_in_the_text(spark):
+    """A filter pushed below the measures once split the text again for every word: hours for this row."""
+    text = " ".join(f"the word{i} of" for i in range(30_000))
+    assert quality.filtered(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 1
+
+
 def test_no_python_in_the_plan(spark):
     plan = quality.judged(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan

@@ -26,6 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from echoscore.llm.words import PUNCTUATION, word_and_stem_hashes
+from echoscore.sources.stage import staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -83,26 +84,17 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, held: np.ndarray, rank: int = 4, terms: int = 1024, min_chi: float = 24.0, min_rows: int = 5, steps: int = 300, decay: float = 1e-3) -> Model:
-    """Fit on rows of slots; ``held`` marks those that only scale the scores."""
+def train(rows: list[np.ndarray], labels: np.ndarray, held: np.ndarray, best: np.ndarray, rank: int = 4, steps: int = 300, decay: float = 1e-3) -> Model:
+    """Fit on rows of slots, all among ``best`` (ascending); ``held`` marks those that only scale the scores."""
     y = (np.asarray(labels) > 0).astype(np.float64)
-    none = Model(-40.0, np.zeros(0, np.int32), np.zeros(0), np.zeros((0, rank)), 1.0, 0.0)
     if not y.any() or y.all():
-        return none
-    fit = ~np.asarray(held) if 0 < y[~held].sum() < (~held).sum() else np.ones(len(y), bool)
+        return Model(-40.0, np.zeros(0, np.int32), np.zeros(0), np.zeros((0, rank)), 1.0, 0.0)
+    held = np.asarray(held, bool)
+    fit = ~held if _both(y[~held]) else np.ones(len(y), bool)
     n, n1 = fit.sum(), y[fit].sum()
-    terms_of = [rows[r] for r in np.flatnonzero(fit)]
-    slots, place = np.unique(np.concatenate([np.zeros(0, np.int32), *terms_of]), return_inverse=True)
-    seen = np.bincount(place, minlength=len(slots))
-    toxic = np.bincount(place, np.repeat(y[fit], [len(t) for t in terms_of]), len(slots))
-    expected = seen * n1 / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.where((seen >= min_rows) & (seen < n), (toxic - expected) ** 2 / (expected * (1 - n1 / n) * (1 - seen / n)), -1)
-    best = np.lexsort((slots, -chi))[:terms]
-    best = np.sort(slots[best[chi[best] > min_chi]])
     x = np.zeros((len(y), len(best)), np.float32)
     for r, own in enumerate(rows):
-        x[r, np.searchsorted(best, own[np.isin(own, best)])] = 1
+        x[r, np.searchsorted(best, own)] = 1
     xf, yf = x[fit], y[fit].astype(np.float32)
     # Both classes weigh as they do in the sample; factors start small so that pairs begin without effect.
     bias, w, v = float(np.log(n1 / (n - n1))), np.zeros(len(best), np.float32), np.random.default_rng(7).normal(0, 0.05, (len(best), rank)).astype(np.float32)
@@ -130,14 +122,36 @@ def train(rows: list[np.ndarray], labels: np.ndarray, held: np.ndarray, rank: in
     return Model(float(bias), best, w, v, float(max(scale, 0.05)), float(shift))
 
 
-def fit(docs: DataFrame, labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """``docs`` (id, text) and ``labelled`` (id, label); at most ``max_rows`` slot lists reach the driver."""
+def _both(y: np.ndarray) -> bool:
+    return bool(len(y)) and 0 < y.sum() < len(y)
+
+
+def _chosen_terms(rows: DataFrame, terms: int, min_chi: float, min_rows: int) -> np.ndarray:
+    """The slots that tell the labels of ``rows`` (label, slots) apart best, in ascending order."""
+    y = (F.col("label") > 0).cast("double")
+    n, n1 = rows.agg(F.count("*"), F.sum(y)).first()
+    seen, toxic, share = F.col("seen"), F.col("toxic"), float(n1 or 0) / max(1, n)
+    if not 0 < share < 1:
+        return np.zeros(0, np.int32)
+    counts = rows.select(y.alias("y"), F.explode("slots").alias("slot")).groupBy("slot").agg(F.count("*").alias("seen"), F.sum("y").alias("toxic"))
+    chi = (toxic - seen * share) ** 2 / (seen * share * (1 - share) * (1 - seen / n))
+    told = counts.where((seen >= min_rows) & (seen < n)).withColumn("chi", chi).where(F.col("chi") > min_chi)
+    best = told.orderBy(F.desc("chi"), "slot").limit(terms).select("slot").collect()
+    return np.sort(np.array([r["slot"] for r in best], np.int32))
+
+
+def fit(docs: DataFrame, labelled: DataFrame, max_rows: int = MAX_ROWS, terms: int = 1024, min_chi: float = 24.0, min_rows: int = 5) -> Model:
+    """``docs`` (id, text) and ``labelled`` (id, label); at most ``max_rows`` lists of at most ``terms`` slots reach the driver."""
     chosen = sample(labelled, max_rows)
     texts = docs.where("id is not null and text is not null").join(chosen, "id").groupBy(F.xxhash64("text").alias("text_hash"), "text").agg(F.min("id").alias("id"), F.max("label").alias("label"))
-    rows = texts.select("id", "label", term_slots(F.col("text")).alias("slots")).toPandas().sort_values("id")
-    # A fifth is held out by id, so equal data give equal models.
-    held = (rows["id"].to_numpy(np.int64) % 5 == 0) if len(rows) else np.zeros(0, bool)
-    return train([np.asarray(s, np.int32) for s in rows["slots"]], rows["label"].to_numpy(np.float64) if len(rows) else np.zeros(0), held)
+    # a fifth is held out by id, so equal data give equal models
+    rows = staged(texts.select("id", "label", (F.col("id") % 5 == 0).alias("held"), term_slots(F.col("text")).alias("slots")), "toxicity")
+    best = _chosen_terms(rows.where("not held"), terms, min_chi, min_rows)
+    if not len(best):
+        best = _chosen_terms(rows, terms, min_chi, min_rows)
+    known = F.array_intersect("slots", F.array(*[F.lit(int(s)) for s in best]).cast("array<int>"))
+    found = rows.select("id", "label", "held", known.alias("slots")).orderBy("id").collect()
+    return train([np.array(r["slots"], np.int32) for r in found], np.array([r["label"] for r in found], float), np.array([r["held"] for r in found], bool), best)
 
 
 def scores(texts: pa.Array, model: Model) -> np.ndarray:

@@ -146,12 +146,17 @@ def _candidates(x: str, y: str, sketch: int, percent: int) -> Column:
     return _similar_sizes(n, other, percent) & both[0] & both[1]
 
 
+def _source(text_hash: Column) -> Column:
+    """Key of a row whose id may be NULL: a struct is never NULL itself. Rows with an id sort first."""
+    return F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), text_hash.alias("text_hash"))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, profiles: DataFrame, width: int, sketch: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ``pairs`` that are links."""
     pairs = staged(pairs, "pairs")
     nodes = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = classes.join(nodes(pairs), "node", "left_semi").select("node", "id")
-    sketches = profiles.join(wanted, ["node", "id"], "left_semi").select("node", "sketch").dropDuplicates(["node"])
+    wanted = classes.join(nodes(pairs), "node", "left_semi").select("node", "source")
+    sketches = profiles.join(wanted, ["node", "source"], "left_semi").select("node", "sketch").dropDuplicates(["node"])
     side = lambda t, name, column: t.select(F.col("node").alias(name), F.col("sketch").alias(column))
     both = pairs.join(side(sketches, "a", "sa"), "a").join(side(sketches, "b", "sb"), "b")
     # a cut sketch has ``sketch`` values, so an array of another length is a whole set
@@ -164,9 +169,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, profiles: D
     in_sketch = F.size(F.array_intersect(union, F.col("shared"))) >= need(sketch, percent)
     enough = F.when(F.col("cut") & (size >= sketch), in_sketch).otherwise(F.size("shared") * 100 >= size * percent)
     likely = staged(shared.where(enough).select("a", "b"), "likely")
-    wanted = classes.join(nodes(likely), "node", "left_semi").select("node", "id")
-    texts = docs.join(wanted.select("id").distinct(), "id", "left_semi")
-    sets = _profiles(texts, width, sketch, True).join(wanted, ["node", "id"], "left_semi").select("node", "sketch").dropDuplicates(["node"])
+    wanted = classes.join(nodes(likely), "node", "left_semi").select("node", "source")
+    texts = docs.withColumn("source", _source(F.xxhash64("text"))).join(wanted.select("source").distinct(), "source", "left_semi")
+    sets = _profiles(texts, width, sketch, True).withColumn("source", _source(F.col("text_hash")))
+    sets = sets.join(wanted, ["node", "source"], "left_semi").select("node", "sketch").dropDuplicates(["node"])
     both = likely.join(side(sets, "a", "sa"), "a").join(side(sets, "b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     checked = both.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
@@ -183,8 +189,8 @@ def near_duplicates(
     """(doc_id, n_shingles, component_id, kept, text_hash) for every row of ``docs``. Runs jobs when called."""
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     profiles = staged(_profiles(docs, width, sketch, False), "profiles")
-    known = profiles.where("node is not null")
-    classes = staged(known.groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n")), "classes")
+    known = profiles.where("node is not null").withColumn("source", _source(F.col("text_hash")))
+    classes = staged(known.groupBy("node").agg(F.min("id").alias("id"), F.min("source").alias("source")), "classes")
     one_each = known.groupBy("node").agg(F.min("n").alias("n"), F.first("sketch").alias("sketch"))
     lists = staged(postings(one_each, sketch, percent), "lists")
 

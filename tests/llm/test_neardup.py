@@ -57,7 +57,7 @@ def corpus(seed):
     texts = [" ".join(t) for t in texts] + ["", None, " \n", "a b", "A  b", "a b c", texts[0][0], "x" * 3000 + " tail"]
     rng.shuffle(texts)
     rows = list(enumerate(texts, 100))
-    return rows + [rows[3], rows[3], (rows[5][0], "another text under the same id here"), (None, rows[7][1]), (None, "only a null id has this text")]
+    return rows + [rows[3], rows[3], (rows[5][0], "another text under the same id here"), (None, rows[7][1]), (None, "only a null id has this text"), (None, max((t or "" for t in texts), key=len) + " end")]
 
 
 @pytest.mark.parametrize("seed", range(2))

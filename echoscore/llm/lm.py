@@ -135,15 +135,15 @@ def _listed(blocks: DataFrame, order: int, bits: int) -> DataFrame:
     return blocks.select("block", "text", "learn").mapInArrow(run, "level int, range long, block long, keys binary, counts binary")
 
 
-SUMMED = "block long, level int, keys binary, totals binary, tokens long, words long"
+SUMMED = "block long, level int, range long, changed binary, totals binary, tokens long, words long"
 
 
 def _summed(listed: DataFrame) -> DataFrame:
-    """(SUMMED): totals of the n-grams that another block has learned too; block NULL: a range's learned tokens
-    and distinct words."""
+    """(SUMMED): for each list, which of its n-grams another block has learned too (one bit each, in the list's order),
+    and their totals; block NULL: a range's learned tokens and distinct words."""
 
     def run(table: pa.Table) -> pa.Table:
-        level = table.column("level")[0].as_py()
+        level, part = table.column("level")[0].as_py(), table.column("range")[0].as_py()
         blocks = table.column("block").to_pylist()
         keys = [_values(k) for k in table.column("keys").to_pylist()]
         counts = [_values(c) for c in table.column("counts").to_pylist()]
@@ -157,11 +157,11 @@ def _summed(listed: DataFrame) -> DataFrame:
             at += len(own)
             more = total != count
             if more.any():
-                rows.append((block, level, _planes(own[more]), _planes(total[more]), 0, 0))
+                rows.append((block, level, part, zlib.compress(np.packbits(more).tobytes(), 1), _planes(total[more]), 0, 0))
         if level == 1:
-            rows.append((None, level, None, None, int(totals.sum()), int((totals > 0).sum())))
-        columns = list(zip(*rows)) or [()] * 6
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+            rows.append((None, level, part, None, None, int(totals.sum()), int((totals > 0).sum())))
+        columns = list(zip(*rows)) or [()] * 7
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in SUMMED.split(", ")])
 
     return listed.groupBy("level", "range").applyInArrow(run, SUMMED)
@@ -170,7 +170,7 @@ def _summed(listed: DataFrame) -> DataFrame:
 COUNTED = "id long, held_out boolean, learn boolean, n_tokens long, n_known long, base_score double, counts binary"
 
 
-def _counted(blocks: DataFrame, totals: DataFrame, order: int, tokens: int, words: int) -> DataFrame:
+def _counted(blocks: DataFrame, totals: DataFrame, order: int, bits: int, tokens: int, words: int) -> DataFrame:
     """(COUNTED) for every document: ``counts`` has its tokens' n-gram counts, one level after the other."""
 
     def run(docs: pa.Table, others: pa.Table) -> pa.Table:
@@ -181,9 +181,12 @@ def _counted(blocks: DataFrame, totals: DataFrame, order: int, tokens: int, word
         found = []
         for level, keys in enumerate(levels, 1):
             distinct, counts, place = _own_counts(keys, flags, True)
-            for other, k, t in zip(others.column("level").to_pylist(), others.column("keys").to_pylist(), others.column("totals").to_pylist()):
+            cuts = _range_cuts(distinct, bits)
+            for other, part, changed, t in zip(*(others.column(c).to_pylist() for c in ("level", "range", "changed", "totals"))):
                 if other == level:
-                    counts[np.searchsorted(distinct, _values(k))] = _values(t)
+                    n = int(cuts[part + 1] - cuts[part])
+                    marks = np.unpackbits(np.frombuffer(zlib.decompress(changed), np.uint8), count=n).astype(bool)
+                    counts[cuts[part] : cuts[part + 1]][marks] = _values(t)
             found.append(counts[place])
         ends = np.cumsum(sizes)
         base = np.add.reduceat(np.log10((found[0] + 1.0) / (tokens + 1.0 * (words + 1))), ends - sizes) if len(ends) else np.zeros(0)
@@ -286,7 +289,7 @@ def scored(docs: DataFrame, learn, held_out, id_col: str = "doc_id", text_col: s
     blocks = narrow.withColumn("block", F.floor(F.monotonically_increasing_id() / per_block).cast("long"))
     totals = staged(_summed(_listed(blocks, order, bits)), "totals")
     tokens, words = (int(x or 0) for x in totals.where("block is null").agg(F.sum("tokens"), F.sum("words")).first())
-    counted = staged(_counted(blocks, totals.where("block is not null"), order, tokens, words), "counted")
+    counted = staged(_counted(blocks, totals.where("block is not null"), order, bits, tokens, words), "counted")
     weights = mixture(_grid(counted, order, learned, tokens, words), order, words)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,9 @@ folded) and the first 4, 5 and 6 bytes of longer ones, which stand for inflected
 slot or not, so length does not dilute a term.
 
 ``fit`` takes a bounded sample: at most ``max_rows`` labelled rows, half of them toxic if there are as many, chosen by a hash
-of the id. Only slots that the labels tell apart beyond chance over
+of the id. That makes toxic rows more common in the sample than among the labels if there are more clean ones than fit, so the
+scores' log odds are moved back by the share of each class that was taken, counted over all labels: ``THRESHOLD`` means the
+same for tables of any size. Only slots that the labels tell apart beyond chance over
 all slots (chi-square of ``min_chi`` and more, ``min_rows`` rows and more) get weights, so that wrong labels aren't learned by heart. A fifth of the sample is held
 out of the fit and scales the scores (Platt). Scoring is one pass without a shuffle; the model has a fixed size.
 
@@ -75,6 +77,15 @@ def sample(labelled: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     return halves[0].unionByName(halves[1])
 
 
+def prior_shift(labelled: DataFrame, max_rows: int = MAX_ROWS) -> float:
+    """Log odds of a toxic row among all labelled rows, less those in the ``sample``."""
+    one = labelled.where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
+    toxic = (F.col("label") > 0).cast("long")
+    found = one.agg(F.sum(toxic), F.sum(1 - toxic)).first()
+    shares = [n / min(n, max_rows // 2) if n else 1.0 for n in found]
+    return float(np.log(shares[0] / shares[1]))
+
+
 def _raw(x: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray) -> np.ndarray:
     sums = x @ v
     return bias + x @ w + 0.5 * (sums**2 - x @ (v**2)).sum(1)
@@ -84,8 +95,9 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, held: np.ndarray, best: np.ndarray, rank: int = 4, steps: int = 300, decay: float = 1e-3) -> Model:
-    """Fit on rows of slots, all among ``best`` (ascending); ``held`` marks those that only scale the scores."""
+def train(rows: list[np.ndarray], labels: np.ndarray, held: np.ndarray, best: np.ndarray, rank: int = 4, steps: int = 300, decay: float = 1e-3, prior: float = 0.0) -> Model:
+    """Fit on rows of slots, all among ``best`` (ascending); ``held`` marks those that only scale the scores. ``prior`` is added
+    to the scaled log odds."""
     y = (np.asarray(labels) > 0).astype(np.float64)
     if not y.any() or y.all():
         return Model(-40.0, np.zeros(0, np.int32), np.zeros(0), np.zeros((0, rank)), 1.0, 0.0)
@@ -96,7 +108,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, held: np.ndarray, best: np
     for r, own in enumerate(rows):
         x[r, np.searchsorted(best, own)] = 1
     xf, yf = x[fit], y[fit].astype(np.float32)
-    # Both classes weigh as they do in the sample; factors start small so that pairs begin without effect.
+    # Both classes weigh as they do in the sample, which ``prior`` makes up for; factors start small so that pairs begin without effect.
     bias, w, v = float(np.log(n1 / (n - n1))), np.zeros(len(best), np.float32), np.random.default_rng(7).normal(0, 0.05, (len(best), rank)).astype(np.float32)
     moments = [np.zeros(1), np.zeros(1), np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)]
     for step in range(1, steps + 1):
@@ -119,7 +131,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, held: np.ndarray, best: np
     for _ in range(400):
         g = _sigmoid(scale * z + shift) - t
         scale, shift = scale - 0.02 * (g * z).mean(), shift - 0.2 * g.mean()
-    return Model(float(bias), best, w, v, float(max(scale, 0.05)), float(shift))
+    return Model(float(bias), best, w, v, float(max(scale, 0.05)), float(shift) + prior)
 
 
 def _both(y: np.ndarray) -> bool:
@@ -151,7 +163,7 @@ def fit(docs: DataFrame, labelled: DataFrame, max_rows: int = MAX_ROWS, terms: i
         best = _chosen_terms(rows, terms, min_chi, min_rows)
     known = F.array_intersect("slots", F.array(*[F.lit(int(s)) for s in best]).cast("array<int>"))
     found = rows.select("id", "label", "held", known.alias("slots")).orderBy("id").collect()
-    return train([np.array(r["slots"], np.int32) for r in found], np.array([r["label"] for r in found], float), np.array([r["held"] for r in found], bool), best)
+    return train([np.array(r["slots"], np.int32) for r in found], np.array([r["label"] for r in found], float), np.array([r["held"] for r in found], bool), best, prior=prior_shift(labelled, max_rows))
 
 
 def scores(texts: pa.Array, model: Model) -> np.ndarray:

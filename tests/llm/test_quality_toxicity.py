@@ -105,3 +105,19 @@ def test_sample_is_bounded_and_repeatable(spark):
     labels = spark.range(1000).select("id", (F.col("id") % 4 == 0).cast("int").alias("label"))
     a, b = (sorted(toxicity.sample(x, 100).collect()) for x in (labels, labels.repartition(7)))
     assert a == b and len(a) == 100 and sum(r["label"] for r in a) == 50
+
+
+def test_scores_do_not_depend_on_the_share_sampled(spark):
+    """6 % of the rows are toxic, 40 % of those with the marked term; a sample of halves once scored the term 0.9."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(16_000):
+        marked = rng.random() < 0.1
+        words = ["".join(rng.choice("bdfglmnrst") + rng.choice("aeiou") for _ in range(3)) for _ in range(8)]
+        rows.append((i, " ".join(words + ["vermin"] * marked), int(rng.random() < (0.4 if marked else 0.02))))
+    docs = spark.createDataFrame([r[:2] for r in rows], "id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "id long, label int")
+    texts = pa.array(["vermin", "bana"])
+    whole, part = (toxicity.scores(texts, toxicity.fit(docs, labels, max_rows=n)) for n in (40_000, 1600))
+    assert whole == pytest.approx([0.4, 0.02], abs=0.1) and part == pytest.approx(whole, abs=0.12)
+    assert toxicity.prior_shift(labels, 40_000) == 0

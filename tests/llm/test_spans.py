@@ -69,6 +69,29 @@ def test_network_finds_variants_the_patterns_miss(spark):
     assert (p[y == 1] >= net.threshold).mean() > 0.95 and (p[y == 0] >= net.threshold).mean() < 0.05
 
 
+def test_windows_read_the_whole_run():
+    """Only the first 40 characters of a run were read once."""
+    for n in [*range(16, 140), 5000]:
+        run = "".join(chr(97 + i % 26) for i in range(n))
+        held = list(secrets.windows(f"é {run} after", 2, 2 + n))
+        assert len(held) <= n // secrets.STEP + 1 and held[0] == secrets.window(f"é {run} after", 2, 2 + n)
+        own = [w[secrets.BEFORE : secrets.BEFORE + secrets.OWN].rstrip(b"\0").decode() for w in held]
+        # every stretch of 33 characters, and the end, lies whole in a window
+        read = {i for k, w in enumerate(own) for i in range(k * secrets.STEP, k * secrets.STEP + len(w)) if w == run[k * secrets.STEP :][: secrets.OWN]}
+        assert read == set(range(n)) and all(any(k * secrets.STEP <= i and i + 33 <= k * secrets.STEP + len(w) for k, w in enumerate(own)) for i in range(n - 32))
+        assert {(w[: secrets.BEFORE].strip(b"\0"), w[-secrets.AFTER :].strip(b"\0")) for w in held} == {(b"\x01 ", b" after")}
+
+
+def test_secrets_late_in_a_run_are_found(spark):
+    docs = spark.createDataFrame(secret_docs(600), "id long, text string")
+    net = secrets.fit(docs)
+    rng = random.Random(8)
+    path = "servicesnotifications" + "productionregionone" * 3
+    texts = [f"see {path[:n]}{''.join(rng.choice('0123456789ABCDEF') for _ in range(24))} there" for n in range(45, 75)]
+    spans = secrets.text_spans([*texts, f"see {path} there"], net)
+    assert all(s == [] or s[0][0] == "model" for s in spans) and sum(map(bool, spans[:-1])) > 0.9 * len(texts) and spans[-1] == []
+
+
 def test_findings_and_masking(spark):
     rows = [(1, None), (2, ""), (3, f"é password={HEX40} x AKIA{'A1' * 8}"), (3, f"é password={HEX40} x AKIA{'A1' * 8}"), (None, "token: abcdefgh1"), (4, "x" * 200_000 + f" {HEX40}")]
     docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, spans int")

@@ -101,6 +101,18 @@ def test_threshold_keeps_the_recall_where_classes_overlap():
     assert (secrets.probabilities(net, held)[labels == 1] >= net.threshold - 1e-6).mean() >= 0.98
 
 
+def test_rare_secrets_are_learned_from(spark):
+    """30 secrets among 12,000 long words: the lowest 600 hashes hold too few, which once switched the network off."""
+    rng = random.Random(4)
+    letters = lambda: "".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randint(16, 24)))
+    digits = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(32))
+    texts = [" ".join([letters() for _ in range(20)] + [digits()] * (i % 10 == 0) + [letters() for _ in range(20)]) for i in range(600)]
+    net = secrets.fit(spark.createDataFrame(list(enumerate(texts[:300])), "id long, text string"), max_findings=600)
+    assert net is not None
+    p = [secrets.probabilities(net, [secrets.window(t, a, b) for t in texts[300:] for _, a, b in secrets.candidates(t)[k]]) for k in (0, 1)]
+    assert len(p[0]) == 30 and (p[0] >= net.threshold).mean() > 0.9 and p[1].mean() < 0.05
+
+
 def test_findings_and_masking(spark):
     rows = [(1, None), (2, ""), (3, f"é password={HEX40} x AKIA{'A1' * 8}"), (3, f"é password={HEX40} x AKIA{'A1' * 8}"), (None, "token: abcdefgh1"), (4, "x" * 200_000 + f" {HEX40}")]
     docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, spans int")

@@ -187,6 +187,15 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, sketch: int = SKETCH, percent: int = PERCENT
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_hash) for every row of ``docs``. Runs jobs when called."""
+    component = F.col("component_id")
+    return _grouped(docs, id_col, text_col, width, sketch, percent).select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component,
+        F.col("id").eqNullSafe(component).alias("kept"), "text_hash",
+    )
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, sketch: int, percent: int) -> DataFrame:
+    """(id, n, text_hash, component_id, first) for every row; ``first`` is the lowest source of the row's component."""
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     profiles = staged(_profiles(docs, width, sketch, False), "profiles")
     known = profiles.where("node is not null").withColumn("source", _source(F.col("text_hash")))
@@ -222,21 +231,21 @@ def near_duplicates(
         found = links.unionByName(late)
         labels = components(found)
     members = _labelled(classes, labels)
-    smallest = members.groupBy("label").agg(F.min("id").alias("component_id"))
-    of_node = members.join(smallest, "label").select("node", "component_id")
+    smallest = members.groupBy("label").agg(F.min("id").alias("component_id"), F.min("source").alias("first"))
+    of_node = members.join(smallest, "label").select("node", "component_id", "first")
     out = profiles.select("id", "n", "node", "text_hash").join(of_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    alone = F.col("node").isNull()
     return out.select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.col("id").eqNullSafe(component).alias("kept"), "text_hash",
+        "id", "n", "text_hash", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(alone, _source(F.col("text_hash"))).otherwise(F.col("first")).alias("first"),
     )
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, sketch: int = SKETCH, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` without the other members of each component; a row that repeats id and text stays once.
+    """One row of ``docs`` for each component: that of the lowest id, then text hash, and any one of those that repeat both.
     Columns are those of ``docs``. Runs jobs when called."""
-    found = near_duplicates(docs, id_col, text_col, width, sketch, percent)
-    gone = found.where(~F.col("kept")).select("doc_id", "text_hash").distinct()
+    found = _grouped(docs, id_col, text_col, width, sketch, percent)
+    gone = found.where(_source(F.col("text_hash")) != F.col("first")).select(F.col("id").alias("doc_id"), "text_hash").distinct()
     row = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"), F.struct("*").alias("row"))
     left = row.join(gone, row["id"].eqNullSafe(gone["doc_id"]) & (row["hash"] == gone["text_hash"]), "left_anti")
     return left.dropDuplicates(["id", "hash"]).select("row.*")

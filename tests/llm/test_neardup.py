@@ -79,6 +79,15 @@ def test_distinct_documents(spark):
     assert {tuple(r) for r in out.collect()} == {rows[0], rows[3], rows[4], rows[5], rows[6]} and out.count() == 5
 
 
+def test_one_document_of_a_group_without_or_with_repeated_ids_stays(spark):
+    """Every different text stayed once where all ids of a group are NULL or the same."""
+    texts = [" ".join(f"{w}{i}" for i in range(60)) for w in "abc"]
+    rows = [(None, texts[0] + end) for end in ("", " x", " y")] + [(7, texts[1] + end) for end in ("", " x", " y")] + [(7, texts[2]), (None, None), (None, ""), (7, None)]
+    out = neardup.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = [(r["doc_id"], (r["text"] or "")[:2]) for r in out]
+    assert sorted(left, key=str) == sorted([(None, "a0"), (7, "b0"), (7, "c0"), (None, ""), (None, ""), (7, "")], key=str)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.near_duplicates(docs).count() == 0 and neardup.distinct_documents(docs).count() == 0

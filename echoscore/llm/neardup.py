@@ -15,7 +15,7 @@ empty, linked with nothing). Two documents are linked when 100 * intersection >=
 
 For pairs of whole sets the places are bounds, so none is lost. With a larger set, the values that are not common
 follow a binomial distribution, whose mean plus ``SIGMAS`` standard deviations is allowed: a pair exactly at the threshold is missed
-with a probability of some 1e-5, one above it with far less. Links are never made without comparing the full
+with a probability below 2e-4, the sum of the binomial tails of both sketches and the union sketch, one above it with less. Links are never made without comparing the full
 sets. Components come from ``components``, nothing is collected.
 
 NULL and empty texts form their own component. Rows that repeat a document are one class. Rows whose id is NULL take

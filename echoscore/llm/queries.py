@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from echoscore.llm import ann, chat, digests, lm, neardup, packing, pieces, pii, quality, secrets, toxicity
+from echoscore.llm import ann, chat, collocations, digests, discriminant, lm, neardup, packing, pieces, pii, quality, secrets, toxicity
 from echoscore.sources.readers import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,20 @@ def op10_toxicity(spark, d):
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+# --- quality classifier -----------------------------------------------------------------------
+
+
+@query
+def op11_quality_classifier(spark, d):
+    """Learned from the labels of documents whose remainder is not 0."""
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    found = discriminant.scored(table(spark, d, "documents"), labels.where(remainder("id", 5) != 0))
+    return found.select(
+        F.col("id").alias("doc_id"), F.coalesce(remainder("id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= discriminant.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 # --- near duplicates --------------------------------------------------------------------------
 
 
@@ -210,3 +224,46 @@ logged as (
 one as (select ts, min(conv_id) as conv_id, any_value(rendered) as rendered from logged group by ts)
 select conv_id, len(ts)::bigint as n_turns, rendered from one a
 where not exists (select 1 from one b where len(b.ts) > len(a.ts) and b.ts[1:len(a.ts)] = a.ts and b.ts[len(a.ts) + 1][1] <> a.ts[len(a.ts)][1])"""
+
+
+# --- phrases ----------------------------------------------------------------------------------
+
+
+@query
+def op12_collocations(spark, d):
+    return collocations.mined(table(spark, d, "documents"))
+
+
+# Plain scans and group-bys over occurrences; hugeint arithmetic is exact up to 2^127.
+ORACLE["op12_collocations"] = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+split as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from pieces),
+totals as (select lang, sum(len(ws))::bigint as n from split group by lang),
+rows_ as (
+  select lang, unnest(ws) as w1, unnest(ws[2:]) as w2, unnest(ws[3:]) as w3 from split where len(ws) > 0),
+grams as (
+  select lang, w1, null as w2, null as w3, count(*) as f from rows_ group by all having count(*) >= 10
+  union all select lang, w1, w2, null, count(*) from rows_ where w2 is not null group by all having count(*) >= 10
+  union all select lang, w1, w2, w3, count(*) from rows_ where w3 is not null group by all having count(*) >= 10),
+words as (select lang, w1 as w, f from grams where w2 is null),
+pairs as (select lang, w1 as u, w2 as v, f from grams where w2 is not null and w3 is null),
+threes as (select * from grams where w3 is not null),
+around as (
+  select lang, u, v, max(f) as longest from (select lang, w1 as u, w2 as v, f from threes union all select lang, w2, w3, f from threes) group by all),
+cuts as (
+  select p.lang, p.u || ' ' || p.v as phrase, p.f as a, 1 as k, x.f as l, y.f as r
+  from pairs p join words x on x.lang = p.lang and x.w = p.u join words y on y.lang = p.lang and y.w = p.v
+  left join around z on z.lang = p.lang and z.u = p.u and z.v = p.v where z.longest is null or 100 * z.longest < 50 * p.f
+  union all select t.lang, w1 || ' ' || w2 || ' ' || w3, t.f, 1, x.f, y.f
+  from threes t join words x on x.lang = t.lang and x.w = t.w1 join pairs y on y.lang = t.lang and y.u = t.w2 and y.v = t.w3
+  union all select t.lang, w1 || ' ' || w2 || ' ' || w3, t.f, 2, x.f, y.f
+  from threes t join pairs x on x.lang = t.lang and x.u = t.w1 and x.v = t.w2 join words y on y.lang = t.lang and y.w = t.w3),
+weakest as (
+  select *, ((1000000::hugeint * a * a) // (l::hugeint * r))::bigint as score from cuts
+  qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, rank, phrase, a, l, r, n, score from (
+  select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from weakest) join totals using (lang)
+where rank <= 2000"""

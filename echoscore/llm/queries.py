@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from echoscore.llm import ann, chat, collocations, digests, discriminant, lm, neardup, packing, pieces, pii, quality, secrets, toxicity
+from echoscore.llm import alignment, ann, chat, collocations, digests, discriminant, lm, neardup, packing, pieces, pii, quality, secrets, toxicity
 from echoscore.sources.readers import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,6 +197,12 @@ def op9_pieces(spark, d):
     )
 
 
+@query
+def op13_alignment(spark, d):
+    found = alignment.digests(table(spark, d, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_group_links")
+
+
 # --- vectors ----------------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ import re
 import sys
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
@@ -56,6 +57,121 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     return len(b) + up.bit_count() - (down & full).bit_count()
 
 
+#: Smallest group of pairs that are advanced together, the most 64-bit words of a long side there, and of all of a group.
+TOGETHER, WIDEST, CELLS = 60, 60, 1 << 14
+#: Number of different items up to which each pair has a row of bits for all of them.
+SMALL = 128
+
+
+class Sequences:
+    """Many integer sequences end to end; ``first`` has the start of each and the total length."""
+
+    def __init__(self, items: np.ndarray, lengths: np.ndarray):
+        self.items, self.lengths = items, lengths
+        self.first = np.concatenate([[0], np.cumsum(lengths)])
+
+    def __getitem__(self, k: int) -> list[int]:
+        return self.items[self.first[k] : self.first[k + 1]].tolist()
+
+    def taken(self, chosen: np.ndarray) -> Sequences:
+        n = self.lengths[chosen]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[chosen] - (ends - n), n)
+        return Sequences(self.items[at], n)
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sequence of each item and its place there."""
+        owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        return owner, np.arange(len(self.items)) - self.first[owner]
+
+
+def _columns(long: Sequences, short: Sequences, width: int) -> np.ndarray:
+    """Distances of pairs whose long side fits ``width`` 64-bit words (at most WIDEST), short sides in descending length.
+
+    The same recurrence as ``edit_distance`` over a matrix, a column per pair and a row per 64 rows of its table: a step advances every
+    pair that still has items. Only the addition crosses words. Words that overflow by themselves and words that pass a carry on are
+    collected as two bit sets per pair; adding the sets gives the carries into all its words at once.
+    """
+    count, alphabet = len(long.lengths), int(max(long.items.max(initial=0), short.items.max(initial=0))) + 1
+    owner, place = long.places()
+    # one row of bits per pair and item, and an empty one for items that its long side lacks
+    row = owner * alphabet + long.items
+    if alphabet <= SMALL:
+        known = np.arange(count * alphabet)
+    else:
+        known, row = np.unique(row, return_inverse=True)
+    masks = np.zeros((width, len(known) + 1), np.uint64)
+    np.add.at(masks.reshape(-1), (place >> 6) * (len(known) + 1) + row, np.uint64(1) << (place & 63).astype(np.uint64))
+    owner, place = short.places()
+    keys = owner * alphabet + short.items
+    at = keys if alphabet <= SMALL else np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    rows = np.full((int(short.lengths.max(initial=0)), count), len(known))
+    rows[place, owner] = np.where(known[at] == keys, at, len(known))
+    one, top, full = np.uint64(1), np.uint64(63), ~np.uint64(0)
+    up, down = np.full((width, count), full), np.zeros((width, count), np.uint64)
+    weight = (one << np.arange(width, dtype=np.uint64))[:, None]
+    shift = np.arange(width, dtype=np.uint64)[:, None]
+    spare = [np.zeros((width, count), np.uint64) for _ in range(4)]
+    for step, n in enumerate(np.searchsorted(-short.lengths, -np.arange(len(rows)), "left").tolist()):
+        u, d = up[:, :n], down[:, :n]
+        match, x, t, v = (s[:, :n] for s in spare)
+        np.take(masks, rows[step, :n], axis=1, out=match, mode="clip")
+        np.bitwise_or(match, d, out=v)
+        np.bitwise_and(match, u, out=x)
+        np.add(x, u, out=t)
+        if width > 1:
+            own = (np.less(t, u) * weight).sum(0, dtype=np.uint64)
+            passed = (np.equal(t, full) * weight).sum(0, dtype=np.uint64) | own
+            carried = (own + passed) ^ own ^ passed
+            np.right_shift(carried, shift, out=x)
+            np.bitwise_and(x, one, out=x)
+            np.add(t, x, out=t)
+        np.bitwise_xor(t, u, out=t)
+        np.bitwise_or(t, match, out=t)  # the diagonal steps, in x those that rise, in t those that fall
+        np.bitwise_or(t, u, out=x)
+        np.invert(x, out=x)
+        np.bitwise_or(x, d, out=x)
+        np.bitwise_and(t, u, out=t)
+        for bits, first in ((x, 1), (t, 0)):
+            np.right_shift(bits, top, out=match)
+            np.left_shift(bits, one, out=bits)
+            np.bitwise_or(bits[1:], match[:-1], out=bits[1:])
+            bits[0] |= np.uint64(first)
+        np.bitwise_or(v, x, out=u)
+        np.invert(u, out=u)
+        np.bitwise_or(u, t, out=u)
+        np.bitwise_and(x, v, out=d)
+    # the last column starts at the short side's length and takes the remaining steps
+    inside = np.clip(long.lengths[None, :] - 64 * np.arange(width)[:, None], 0, 64).astype(np.uint64)
+    inside = np.where(inside == 64, full, (one << (inside & top)) - one)
+    return short.lengths + (np.bitwise_count(up & inside).astype(int) - np.bitwise_count(down & inside)).sum(0)
+
+
+def edit_distances(a: Sequences, b: Sequences) -> np.ndarray:
+    """Levenshtein distances of pairs of integer sequences. Pairs of about equal lengths are advanced together, the rest one by one."""
+    swap = a.lengths < b.lengths
+    long, short = np.where(swap, b.lengths, a.lengths), np.where(swap, a.lengths, b.lengths)
+    out = long.copy()  # right where the other side is empty
+    words = -(-long // 64)
+    # widths within a half of each other form a group
+    step = np.maximum(1, 1 << np.maximum(0, np.floor(np.log2(np.maximum(words, 1))).astype(int) - 1))
+    width = -(-words // step) * step
+    left = np.flatnonzero(short > 0)
+    left = left[np.lexsort((-short[left], width[left]))]
+    for group in np.split(left, np.flatnonzero(np.diff(width[left])) + 1) if len(left) else []:
+        size = max(TOGETHER, CELLS // int(width[group[0]]))
+        for chosen in (group[k : k + size] for k in range(0, len(group), size)):
+            if len(chosen) < TOGETHER or width[chosen[0]] > WIDEST:
+                out[chosen] = [edit_distance(a[k], b[k]) for k in chosen.tolist()]
+                continue
+            sides = [s.taken(chosen) for s in (a, b)]
+            turned = swap[chosen]
+            both = Sequences(np.concatenate([s.items for s in sides]), np.concatenate([s.lengths for s in sides]))
+            n = np.arange(len(chosen))
+            out[chosen] = _columns(both.taken(np.where(turned, n + len(n), n)), both.taken(np.where(turned, n, n + len(n))), int(width[group[0]]))
+    return out
+
+
 _RUNS = re.compile(r"\s\s+")
 
 
@@ -63,21 +179,46 @@ def _split_words(text: str, word_sep: str) -> list[str]:
     return [w for w in _RUNS.sub(" ", text).strip().split(word_sep) if w]
 
 
+def _characters(*sides: list[str]) -> list[Sequences]:
+    """Code points, numbered by what occurs."""
+    points = [np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) for texts in sides]
+    used = np.zeros(0x110000, bool)
+    for p in points:
+        used[p] = True
+    number = np.cumsum(used) - 1
+    return [Sequences(number[p], np.array([len(t) for t in texts], int)) for p, texts in zip(points, sides)]
+
+
+def _numbered(lists: list[list[str]], numbers: dict[str, int]) -> Sequences:
+    items = [numbers.setdefault(w, len(numbers)) for words in lists for w in words]
+    return Sequences(np.array(items, np.int64), np.array([len(words) for words in lists], int))
+
+
+def count_edits(refs: list[str], hyps: list[str], word_sep: str = " ") -> np.ndarray:
+    """EDIT_COUNTS of each pair, one row each."""
+    out = np.zeros((len(refs), 4), int)
+    ref_words = [_split_words(r, word_sep) for r in refs]
+    out[:, 1], out[:, 3] = [len(w) for w in ref_words], [len(r) for r in refs]
+    differ = [k for k, (r, h) in enumerate(zip(refs, hyps)) if r != h]
+    if differ:
+        numbers: dict[str, int] = {}
+        rw = _numbered([ref_words[k] for k in differ], numbers)
+        hw = _numbered([_split_words(hyps[k], word_sep) for k in differ], numbers)
+        out[differ, 0] = edit_distances(rw, hw)
+        out[differ, 2] = edit_distances(*_characters(*([side[k] for k in differ] for side in (refs, hyps))))
+    return out
+
+
 def edit_counts(ref: Column, hyp: Column, word_sep: str = " ") -> Column:
     """Struct of EDIT_COUNTS for two already normalised texts.
 
     Words are the non-empty pieces between ``word_sep``; characters are code points. Runs in
-    Arrow batches: the JVM's own ``levenshtein`` has no word form and fills len(a) x len(b) cells. It is
-    faster on utterances of some 100 characters and below, far slower on long texts.
+    Arrow batches, whose pairs are advanced together: the JVM's own ``levenshtein`` has no word form and fills len(a) x len(b) cells.
     """
 
     @F.pandas_udf(EDIT_COUNTS)
     def count(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
-        rows = []
-        for r, h in zip(refs, hyps):
-            rw = _split_words(r, word_sep)
-            rows.append((edit_distance(rw, _split_words(h, word_sep)), len(rw), edit_distance(r, h), len(r)))
-        return pd.DataFrame(rows, columns=["word_edits", "ref_words", "char_edits", "ref_chars"])
+        return pd.DataFrame(count_edits(refs.tolist(), hyps.tolist(), word_sep), columns=["word_edits", "ref_words", "char_edits", "ref_chars"])
 
     return count(ref, hyp)
 

@@ -1,11 +1,13 @@
 import math
 import os
+import random
 import subprocess
 import sys
 
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from echoscore.functions import metrics
 from echoscore.functions.metrics import edit_distance
 from echoscore.operators import scoring
 
@@ -44,6 +46,37 @@ def test_long_texts_are_scored_whole():
     assert edit_distance(a, b) == 3000
 
 
+def _sides(pairs):
+    import numpy as np
+
+    return [metrics.Sequences(np.array([i for p in pairs for i in p[k]], np.int64), np.array([len(p[k]) for p in pairs], int)) for k in (0, 1)]
+
+
+@pytest.mark.parametrize("lengths", [(0, 70), (60, 70), (120, 200), (0, 900)])
+def test_pairs_advanced_together_have_the_single_distances(lengths):
+    rng = random.Random(lengths[1])
+    pairs = []
+    for _ in range(150):
+        a = [rng.randint(0, 5) for _ in range(rng.randint(*lengths))]
+        b = [i for i in a if rng.random() > 0.1] if rng.random() < 0.5 else [rng.randint(0, 7) for _ in range(rng.randint(*lengths))]
+        pairs.append((a, b) if rng.random() < 0.5 else (b, a))
+    pairs += [([], []), ([1], []), ([], [1] * 64), ([1] * 64, [2] * 64), ([1] * 65, [1] * 64), ([1] * 128, [1] * 129)] * 30
+    assert metrics.edit_distances(*_sides(pairs)).tolist() == [edit_distance(a, b) for a, b in pairs]
+
+
+def test_counts_of_texts_of_all_kinds():
+    rng = random.Random(1)
+    words = ["the", "cat", "世界", "é", "𝒳y", "a\nb", "x" * 90, "\u3000"]
+    refs = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 5, 30, 200]))) for _ in range(300)]
+    hyps = [" ".join(w for w in r.split(" ") if rng.random() > 0.2) if rng.random() < 0.8 else rng.choice(refs) for r in refs]
+    refs += ["", "", "same text"]
+    hyps += ["", "new", "same text"]
+    for r, h, got in zip(refs, hyps, metrics.count_edits(refs, hyps).tolist()):
+        rw, hw = (metrics._split_words(t, " ") for t in (r, h))
+        assert got == [edit_distance(rw, hw), len(rw), edit_distance(r, h), len(r)]
+    assert metrics.count_edits([], []).shape == (0, 4)
+
+
 ROWS = [
     # id, transcription, prediction, (word edits, ref words, char edits, ref chars) with the mark removed
     (1, "Hello, world!", "hello world", (0, 2, 0, 11)),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from echoscore import constants as K
 from echoscore.operators.ranking import join_rows
+from echoscore.sources.stage import staged
 
 
 def id_bucket(id_col: str = "id") -> Column:
@@ -90,6 +91,24 @@ def global_index(
     return numbered
 
 
+def range_index(df: DataFrame, order: Sequence[str], name: str = "idx") -> DataFrame:
+    """Number all rows 0, 1, 2 ... in any order, without a bucket expression.
+
+    Spark deals the rows by ranges of ``order``; the sorted ranges are staged with each row's place, so that numbers stay as they are
+    however often they are read, and a range's first number is the size of those before it. One row per range comes to the driver.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()
+    ranged = dealt.select("*", F.shiftright(at, 33).cast("int").alias("_range"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    ranged = staged(ranged, "ranges")
+    starts, total = [], 0
+    for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect():
+        starts.append((r["_range"], total))
+        total += r["n"]
+    offsets = df.sparkSession.createDataFrame(starts, "_range int, _start long")
+    return ranged.join(offsets, "_range").withColumn(name, F.col("_start") + F.col("_place")).drop("_range", "_place", "_start")
+
+
 def sample_index(df: DataFrame, name: str = "idx", **kwargs) -> DataFrame:
     """Place of each sample in (lang, group, id) order."""
     return global_index(df, ["lang", "group"], ["id"], id_bucket("id"), id_bucket_parent, name, **kwargs)

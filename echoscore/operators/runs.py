@@ -117,6 +117,6 @@ def pending_jobs(jobs: DataFrame, summary: DataFrame) -> DataFrame:
     )
     done = summary.select("local_inference_csv_path").where("local_inference_csv_path IS NOT NULL")
     todo = todo.join(done, "local_inference_csv_path", "left_anti")
-    places = [F.col(c) for c in ("log_time", "log_file", "log_row") if c in todo.columns]
+    places = [F.col(c) for c in ("log_time", "log_file", "log_seq", "log_row") if c in todo.columns]
     rest = [c for c, kind in todo.dtypes if not kind.startswith(("map", "variant"))]
     return first_row(todo, ["local_inference_csv_path"], *places, F.struct(*rest))

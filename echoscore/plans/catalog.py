@@ -13,7 +13,7 @@ from echoscore.operators.indexing import chunked, sample_index
 from echoscore.plans import evaluate, improve, standins as V
 from echoscore.session import shared_folder
 from echoscore.sources import sinks
-from echoscore.sources.readers import job_logs, response_lines, spread, summary_csv, table
+from echoscore.sources.readers import job_logs, response_lines, run_table as stored_runs, spread, summary_csv, table
 from echoscore.sources.schemas import CRITIQUE_FIELDS, RUN_SUMMARY_TEXT
 from echoscore.sources.stage import staged
 from echoscore.streaming import scoring as streaming
@@ -90,11 +90,13 @@ def run_table(spark, d):
     first = F.col("lang").isin("es", "fr")
     done = spark.createDataFrame([], "local_inference_csv_path string")
     for number, some in ((1, logged.where(first)), (2, logged)):
-        sinks.json(some, f"{base}/logs/round={number}")
+        sinks.job_log(some, f"{base}/logs/round={number}", ["job_name"])
         jobs_ = job_logs(spark, f"{base}/logs/round=*", arrays=False).withColumn("job_id", T.basename(F.col("gcs_output_base_uri")))
         summary = evaluate.run_summary(jobs_, done, noisy, silence, response_lines(spark, f"{base}/answers"))
-        sinks.append_runs(summary.withColumn("round", F.lit(number)), f"{base}/table")
-        done = spark.read.parquet(f"{base}/table")
+        summary = staged(summary.withColumn("round", F.lit(number)), "round")
+        for _ in range(2):  # appended again, a round is still there once
+            sinks.append_runs(summary, f"{base}/table")
+        done = stored_runs(spark, f"{base}/table")
     newest = runs.latest_run(done, SETTING)
     best = runs.best_run_per_lang(newest).select("run_seq", F.lit(True).alias("best"))
     flagged = newest.join(best, "run_seq", "left").withColumn("best", F.coalesce("best", F.lit(False)))

@@ -8,10 +8,9 @@ from echoscore.operators.requests import fan_out
 from echoscore.operators.responses import join_predictions, latest_predictions, parse_responses
 from echoscore.operators.runs import pending_jobs
 from echoscore.operators.scoring import corpus_rates
+from echoscore.sources.readers import LOG_PLACES
 
 SAMPLE_COLUMNS = ("id", "transcription", "gcs_uri")
-# Where a job stands in the logs; kept as far as the jobs have it.
-LOG_COLUMNS = ("log_time", "log_file", "log_row")
 RUN_COLUMNS = ("job_id", "lang", "group", "model", "config", "prompt_version", "local_inference_csv_path")
 
 
@@ -34,5 +33,5 @@ def run_summary(
     """One summary row per job that is not in ``done`` yet, all jobs in one pass, with the job's place in the logs."""
     todo = pending_jobs(jobs, done).withColumnRenamed("config_name", "config")
     rows = scored_texts(todo, noisy, silence, lines)
-    places = [c for c in LOG_COLUMNS if c in todo.columns]
+    places = [c for c in LOG_PLACES if c in todo.columns]
     return corpus_rates(rows, [*RUN_COLUMNS, *places])

@@ -236,7 +236,8 @@ ORACLE["run_table"] = CORPUS_SCORED + f""", summary_ as (
     sum(word_edits)::double / sum(ref_words)::double as w, sum(char_edits)::double / sum(ref_chars)::double as c
   from scored where ref_chars is not null group by {SETTING}),
 ranked as (
-  select *, "group" = 'test' and row_number() over (partition by lang, "group" order by c, w) = 1 as best from summary_)
+  select *, "group" = 'test' and row_number() over (partition by lang, "group" order by c, w, "group" || '_' || lang || '_' || model || '-' || config || '_' || replace(prompt_version, '.txt', '')) = 1 as best
+  from summary_)
 select {SETTING}, round, n_scored, round(w, 6) as wer, round(c, 6) as cer, best, true as logged from ranked"""
 
 # --- samples --------------------------------------------------------------------------------

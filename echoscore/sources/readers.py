@@ -12,6 +12,10 @@ from echoscore.functions.text import url_unquote
 from echoscore.sources import schemas as S
 
 
+#: Where a job stands in the logs: its written place, else by time, file and row of the scan.
+LOG_PLACES = ("log_seq", "log_time", "log_file", "log_row")
+
+
 def _file_path() -> Column:
     """The row's file; Spark reports it as an encoded URI."""
     return url_unquote(F.col("_metadata.file_path"))
@@ -105,7 +109,7 @@ def response_lines(spark: SparkSession, folder: str) -> DataFrame:
 def job_logs(spark: SparkSession, paths: str | Sequence[str], arrays: bool = True) -> DataFrame:
     """Job records of JSON-array logs (``arrays=False``: JSON lines, as ``sinks.json`` writes them).
 
-    What does not parse contributes nothing. ``log_row`` grows with the place in a log. ``kind`` tells silence runs apart, whatever the log file
+    What does not parse contributes nothing. ``log_row`` grows with the place in a log; ``log_seq`` is the place that ``sinks.job_log`` writes. ``kind`` tells silence runs apart, whatever the log file
     is called.
     """
     rows = (
@@ -122,6 +126,12 @@ def job_logs(spark: SparkSession, paths: str | Sequence[str], arrays: bool = Tru
     return good.withColumn("submitted_at", F.col("submitted_at").try_cast("timestamp")).withColumn("kind", kind)
 
 
+def run_table(spark: SparkSession, path: str) -> DataFrame:
+    """The run table as ``sinks.append_runs`` writes it: all rounds that are on its list."""
+    listed = spark.read.parquet(f"{path}-rounds").select("append_round")
+    return spark.read.parquet(path).join(listed, "append_round", "left_semi").drop("append_round")
+
+
 def broken_job_logs(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """The files ``job_logs`` left out: (log_file, content)."""
     files = spark.read.text(paths, wholetext=True).select(_file_path().alias("log_file"), F.col("value").alias("content"))

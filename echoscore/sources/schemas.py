@@ -17,7 +17,7 @@ RESPONSE_LINE = f"{REQUEST_LINE}, response {RESPONSE}"
 
 JOB_LOG = (
     "lang string, `group` string, splitter string, model string, config_name string, job_name string, "
-    "prompt_version string, gcs_output_base_uri string, local_output_csv string, submitted_at string"
+    "prompt_version string, gcs_output_base_uri string, local_output_csv string, submitted_at string, log_seq long"
 )
 RUN_SUMMARY = (
     "LOG_FILE string, lang string, `group` string, model string, local_inference_csv_path string, "

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from echoscore.operators import samples
+from echoscore.operators.indexing import range_index
 from echoscore.session import shared_folder
 from echoscore.sources import readers, schemas, sinks
 from echoscore.sources.stage import drop_staged, staged
@@ -97,10 +98,51 @@ def test_append_runs(spark, tmp_path):
     schema = "job_id string, local_inference_csv_path string, log_file string, log_row long"
     for jobs in ([("b", "/b", "x/log1.json", 2), ("a", "/a", "x/log1.json", 1)], [("c", "/c", "x/log2.json", 0)]):
         sinks.append_runs(spark.createDataFrame(jobs, schema), f"{tmp_path}/runs")
-    got = spark.read.parquet(f"{tmp_path}/runs").select("run_seq", "job_id", "LOG_FILE").orderBy("run_seq").collect()
+    got = readers.run_table(spark, f"{tmp_path}/runs").select("run_seq", "job_id", "LOG_FILE").orderBy("run_seq").collect()
     assert [tuple(r) for r in got] == [(1, "a", "log1.json"), (2, "b", "log1.json"), (3, "c", "log2.json")]
 
 
+def test_appending_a_round_again_leaves_one_copy(spark, tmp_path):
+    schema = "local_inference_csv_path string, log_file string, log_seq long, cer double"
+    path = f"{tmp_path}/runs"
+
+    def rows(*jobs):
+        return spark.createDataFrame([(f"/{j}", "log.json", n, cer) for n, (j, cer) in enumerate(jobs)], schema).repartition(3)
+
+    def stored():
+        return {r["local_inference_csv_path"]: (r["run_seq"], r["cer"]) for r in readers.run_table(spark, path).collect()}
+
+    assert sinks.append_runs(rows().limit(0), path) is None
+    key = sinks.append_runs(rows(("z", 0.1), ("b", 0.2), ("c", 0.3)), path)
+    assert stored() == {"/z": (1, 0.1), "/b": (2, 0.2), "/c": (3, 0.3)}
+    sinks.append_runs(rows(("d", 0.4)), path)
+    assert sinks.append_runs(rows(("z", 0.5), ("b", 0.2), ("c", 0.3)), path) == key
+    assert stored() == {"/z": (1, 0.5), "/b": (2, 0.2), "/c": (3, 0.3), "/d": (4, 0.4)}
+    # a round that grew would run into the next one's numbers, so it is numbered after it
+    sinks.append_runs(rows(("x", 1.0)), path, "named")
+    sinks.append_runs(rows(("x", 1.0), ("y", 2.0)), path, "named")
+    assert {k: v for k, v in stored().items() if k in ("/x", "/y", "/d")} == {"/d": (4, 0.4), "/x": (5, 1.0), "/y": (6, 2.0)}
+    # rows whose round did not get on the list do not count
+    sinks._put_round(spark.createDataFrame([("/lost", 9.0, 9, "lost")], "local_inference_csv_path string, cer double, run_seq long, append_round string"), path)
+    assert "/lost" not in stored() and len(stored()) == 6
+
+
+def test_rows_are_numbered_by_range(spark):
+    rows = [(i * 37 % 500, None if i % 7 == 0 else f"k{i % 11}") for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, k string").repartition(13)
+    got = [(r["k"] or "", r["id"]) for r in sorted(range_index(df, ["k", "id"], "n").collect(), key=lambda r: r["n"])]
+    assert got == sorted((k or "", i) for i, k in rows)
+    assert sorted(r["n"] for r in range_index(df, ["k"], "n").collect()) == list(range(500))
+    assert range_index(df.limit(0), ["k"]).count() == 0
+
+
+def test_logs_keep_their_order_over_part_files(spark, tmp_path):
+    jobs = spark.createDataFrame([(f"job{9 - i}", "de") for i in range(10)], "job_name string, lang string").repartition(4)
+    sinks.job_log(jobs, f"{tmp_path}/log", ["job_name"])
+    got = readers.job_logs(spark, f"{tmp_path}/log", arrays=False).orderBy("log_seq").select("job_name").collect()
+    assert [r[0] for r in got] == [f"job{i}" for i in range(10)]
+
+
 def test_response_lines_keep_the_order_inside_a_file(spark, tmp_path):
     from echoscore.plans import evaluate
 

@@ -7,7 +7,8 @@ none left, mark the place as failed in a bit field and go back by one piece. A p
 work is linear. A sequence whose neighbours are all compatible is the one that merging gives.
 
 Texts are cut where no piece can reach across: before a run of word marks, around characters that are in no piece, and between
-characters that are neighbours in none. Short segments repeat, so their results are kept in the worker, within a bound.
+characters that are neighbours in none. Words repeat: each different stretch between spaces of a batch is encoded once and
+its ids and surface are gathered; results of short ones are kept in the worker, within a bound.
 
 NULL and empty texts have no ids and decode to ''. Rows are neither merged nor lost; whole texts are encoded.
 One pass, no shuffle. Each task reads the vocabulary file, whose path must be valid on the executors.
@@ -19,11 +20,13 @@ import re
 import sys
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from echoscore.llm.words import pieces as text_pieces
+from echoscore.llm.words import pieces as text_pieces, text_bytes
 from echoscore.llm.worker import kept
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -67,6 +70,16 @@ class Pieces:
         self.cut = re.compile(f"{MARK}*[{known}]+|{MARK}+|.", re.DOTALL)
         # two characters that are neighbours in no piece are never merged across
         self.joints = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
+        # the same as a bit matrix over numbered characters; 0 is any other one, a space is a word mark
+        self.number = np.zeros(0x110000, np.int64)
+        ordered = sorted(self.characters | {MARK})
+        self.number[[ord(c) for c in ordered]] = np.arange(1, len(ordered) + 1)
+        self.number[0x20] = self.number[ord(MARK)]
+        self.n_characters = len(ordered) + 1
+        left, right = (self.number[[ord(j[k]) for j in self.joints]] for k in (0, 1))
+        bits = np.zeros(self.n_characters**2, bool)
+        bits[left * self.n_characters + right] = True
+        self.joined = np.packbits(bits)
         self.pairs: dict[str, dict[str, bool]] = {}
         self.count = 0
         self.kept: dict[str, tuple[list[int], str]] = {}
@@ -144,9 +157,7 @@ class Pieces:
                 ids = self._matched(text)
                 found = ids, self.decode_pieces(ids)
         if len(text) <= KEPT_LENGTH:
-            if len(self.kept) >= KEPT:  # what was not asked for since the last change goes
-                self.older, self.kept = self.kept, {}
-            self.kept[text] = found
+            self._keep(text, found)
         return found
 
     def normalized(self, text: str) -> str:
@@ -154,13 +165,89 @@ class Pieces:
 
     def encode(self, text: str) -> tuple[list[int], str]:
         """The ids of a text, and the text they decode to."""
+        ids, shown = self._stretch(self.normalized(text))
+        return ids, shown[1:]
+
+    def _stretch(self, text: str) -> tuple[list[int], str]:
         ids: list[int] = []
         shown: list[str] = []
-        for segment in self.cut.findall(self.normalized(text)):
+        for segment in self.cut.findall(text):
             found = self.kept.get(segment) or self._segment(segment)
             ids += found[0]
             shown.append(found[1])
-        return ids, "".join(shown)[1:]
+        return ids, "".join(shown)
+
+    def encode_all(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Ids and decoded texts of a batch. Each different stretch between spaces is encoded once; the rest is gathered."""
+        data, bounds = text_bytes(texts)
+        filled = np.diff(bounds) > 0
+        # a space before each text that is not empty
+        first = np.concatenate([[0], np.cumsum(np.diff(bounds) + filled)])
+        spaced = np.full(int(first[-1]), 0x20, np.uint8)
+        spaced[np.arange(len(data)) + np.repeat(np.cumsum(filled), np.diff(bounds))] = data
+        cut = spaced == 0x20
+        cut[1:] &= spaced[:-1] != 0x20
+        cut[first[:-1][filled]] = True
+        # word marks that stand in a text itself join the spaces beside them: such a text stays whole
+        for k in np.flatnonzero(np.asarray(pc.match_substring(texts, MARK).fill_null(False).to_numpy(zero_copy_only=False))):
+            cut[first[k] + 1 : first[k + 1]] = False
+        starts = np.flatnonzero(cut)
+        offsets = np.append(starts, len(spaced)).astype(np.int32)
+        stretches = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(spaced)).dictionary_encode()
+        parts, first_part = self._parts(stretches.dictionary)
+        found = [self.kept.get(part) or self._again(part) for part in parts.dictionary.to_pylist()]
+        # the parts of every stretch, in order
+        each = np.asarray(stretches.indices)
+        n = np.diff(first_part)[each]
+        ends = np.cumsum(n)
+        take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first_part[each] - (ends - n), n)
+        codes = pa.array(np.asarray(parts.indices)[take])
+        ids = pa.array([f[0] for f in found], pa.list_(pa.int32())).take(codes)
+        shown = pa.array([f[1] for f in found], pa.string()).take(codes)
+        of_text = np.concatenate([[0], ends])[np.searchsorted(starts, first)]
+        at = np.asarray(ids.offsets) - ids.offsets[0].as_py()
+        lists = pa.ListArray.from_arrays(pa.array(at[of_text].astype(np.int32)), ids.flatten())
+        # the space that encoding puts first is taken off
+        text, ends = text_bytes(shown)
+        ends = ends[of_text]
+        rest = np.delete(text, ends[:-1][filled])
+        ends = (ends - np.concatenate([[0], np.cumsum(filled)])).astype(np.int32)
+        return lists, pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rest)))
+
+    def _parts(self, stretches: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """Stretches cut between characters that are neighbours in no piece, and the first part of each (and the total)."""
+        data, bounds = text_bytes(stretches)
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        place = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))])
+        known = self.number[points]
+        pair = known[:-1] * self.n_characters + known[1:]
+        cut = np.ones(len(points), bool)
+        cut[1:] = (self.joined[pair >> 3] >> (7 - (pair & 7)).astype(np.uint8)) & 1 == 0
+        cut[np.searchsorted(place, bounds[:-1])] = True
+        starts = place[:-1][cut]
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        parts = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        return parts, np.searchsorted(starts, bounds)
+
+    def _again(self, part: str) -> tuple[list[int], str]:
+        found = self.older.get(part)
+        if found is None:
+            return self._part(part)
+        self._keep(part, found)
+        return found
+
+    def _part(self, part: str) -> tuple[list[int], str]:
+        """Ids and surface of a part, spaces as word marks."""
+        ids = self._matched(part.replace(" ", MARK))
+        found = ids, self.decode_pieces(ids)
+        if len(part) <= KEPT_LENGTH:
+            self._keep(part, found)
+        return found
+
+    def _keep(self, text: str, found: tuple[list[int], str]) -> None:
+        if len(self.kept) >= KEPT:  # what was not asked for since the last change goes
+            self.older, self.kept = self.kept, {}
+        self.kept[text] = found
 
     def decode_pieces(self, ids: list[int]) -> str:
         """Surface of the pieces, word marks as spaces. Bytes that are no UTF-8 become U+FFFD each, as in the library."""
@@ -207,9 +294,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = kept(("pieces", path), lambda: Pieces(path))
         for batch in text_pieces(batches, "text", 1 << 22):
-            rows = [vocabulary.encode(t or "") for t in batch.column("text").to_pylist()]
-            columns = [batch.column("id"), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *vocabulary.encode_all(batch.column("text"))], ["id", "ids", "decoded"])
 
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return narrow.mapInArrow(run, "id long, ids array<int>, decoded string")

@@ -41,6 +41,7 @@ TOP = 2000
 #: Drop a phrase if a longer one has this percentage of its count.
 INSIDE = 50
 BLOCK = 1 << 20
+BUCKETS = 64
 
 #: Bytes that end a piece, and those that end a word.
 BREAKS = np.zeros(256, bool)
@@ -365,9 +366,11 @@ def mined(
     terms = staged(vocabulary(table, least), "terms")
     candidates = staged(scored(phrases(grams(table, terms, least)), inside), "collocations")
     named = terms.select(F.col("id").alias("w1"), "lang", F.col("word").alias("t1"))
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-    # ties at the last rank stay until their texts are known
-    near = candidates.join(named, "w1").withColumn("place", F.rank().over(best)).where(F.col("place") <= top)
+    # first within buckets of each language, so that no task ranks all of a language; ties at the last rank stay until their texts are known
+    near = candidates.join(named, "w1").withColumn("bucket", F.pmod(F.xxhash64("w1", "w2", "w3"), F.lit(BUCKETS)))
+    for keys in (("lang", "bucket"), ("lang",)):
+        best = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"))
+        near = near.withColumn("place", F.rank().over(best)).where(F.col("place") <= top).drop("place")
     for k in (2, 3):
         near = near.join(terms.select(F.col("id").alias(f"w{k}"), F.col("word").alias(f"t{k}")), f"w{k}", "left")
     totals = table.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))

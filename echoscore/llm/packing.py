@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
+from echoscore.llm import bytepairs
 from echoscore.llm.words import pieces
+from echoscore.llm.worker import kept
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -37,21 +39,8 @@ SCHEMA = (
 
 
 def byte_bpe(path: str | None = None) -> Callable[[list[str]], list[np.ndarray]]:
-    """Encoder for the byte-level vocabulary. Both libraries read one vocabulary and give the same ids (tests
-    compare them); the rank form is five times faster. Its end-of-text string is an id of its own inside texts, as there."""
-    import base64
-
-    import tiktoken
-
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
-    return lambda texts: [encoding.encode_to_numpy(t, allowed_special="all").astype(np.uint32) for t in texts]
+    """Encoder for the byte-level vocabulary, whose end-of-text string is an id of its own inside texts."""
+    return bytepairs.encoder(True, path)
 
 
 def cost(n: float, linear: float = LINEAR, quadratic: float = QUADRATIC) -> float:
@@ -130,10 +119,11 @@ def packed(
     linear: float = LINEAR,
     quadratic: float = QUADRATIC,
 ) -> DataFrame:
-    """One row per piece (SCHEMA). ``encoder`` is built once in each task."""
+    """One row per piece (SCHEMA). ``encoder`` is built once in each task, the usual one once in each worker."""
+    usual = encoder is byte_bpe
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder()
+        encode = kept("packing", encoder) if usual else encoder()
         following = TaskContext.get().partitionId() << 33
         ids, tokens, total = [], [], 0
         for batch in pieces(batches, "text"):

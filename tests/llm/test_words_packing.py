@@ -94,3 +94,20 @@ def test_packed_rows(spark):
     assert max(used.values()) <= 64 and texts
     empty = packing.packed(docs.limit(0), lambda: encode)
     assert empty.count() == 0
+
+
+def test_very_long_runs_of_white_space(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" " * 2_000_000, "a" + "\n" * 2_000_000 + " b<|endoftext|>", "x" * 200_000]
+    want = [slow.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = packing.packed(docs).collect()
+    for i, ids in enumerate(want):
+        parts = sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["start"])
+        assert sum(r["length"] for r in parts) == len(ids) == parts[0]["doc_tokens"]
+        for r in parts:
+            part = np.array(ids[r["start"] : r["start"] + r["length"]], "<u4")
+            assert zlib.crc32(part.tobytes()) == r["ids_crc32"]

@@ -19,16 +19,29 @@ SETTING = ("lang", "group", "model", "config", "version_label")
 def worst_cases(scored_texts: DataFrame, keys: Sequence[str], n: int = K.CRITIC_TOP_N, id_col: str = "id") -> DataFrame:
     """The n worst rows per run by cer, then wer, then id, numbered from 1, with their rates.
 
-    Rows are scored in place and once; only (run, id, rates) is ranked. The n winners per run are
+    Rows without wer and cer are scored in place and once; only (run, id, rates) is ranked. The n winners per run are
     staged and fetch their texts.
     """
     unique = [*keys, id_col]
-    rates = row_rates(scored_texts).select(*unique, "wer", "cer")
+    known = {"wer", "cer"} <= set(scored_texts.columns)
+    rates = (scored_texts if known else row_rates(scored_texts)).select(*unique, "wer", "cer")
+    scored_texts = scored_texts.drop("wer", "cer")
     order = [F.col("cer").desc_nulls_last(), F.col("wer").desc_nulls_last(), F.col(id_col)]
     winners = top_n(rates, keys, order, n, unique, rank="case_no")
     return join_rows(scored_texts, staged(winners, "worst-cases"), unique)
 
 
+def worst_stored(scores: DataFrame, runs: DataFrame, keys: Sequence[str], n: int = K.CRITIC_TOP_N) -> DataFrame:
+    """``worst_cases`` of ``runs`` (keys, path) over rows stored by (path, id) with their rates (``evaluate.stored_scores``).
+
+    Rates are read where they are; the winners go to the table's buckets, the table stays.
+    """
+    rates = scores.select("path", "id", "wer", "cer").join(runs.select(*keys, "path"), "path")
+    order = [F.col("cer").desc_nulls_last(), F.col("wer").desc_nulls_last(), F.col("id")]
+    winners = staged(top_n(rates, keys, order, n, [*keys, "id"], rank="case_no"), "worst-cases")
+    return scores.drop("wer", "cer").join(winners, ["path", "id"])
+
+
 def _block(heading: str, number: Column, lines: Sequence[tuple[str, Column]]) -> Column:
     parts: list[Column] = [F.lit(f"## {heading} "), number.cast("string"), F.lit("\n")]
     for label, value in lines:

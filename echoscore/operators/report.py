@@ -114,7 +114,7 @@ def locate_results(
 
 
 def detail(best: DataFrame, rows: DataFrame, n: int = K.REPORT_DETAIL_ROWS) -> DataFrame:
-    """First n rows of each best run's result file, then without blank references, with row rates.
+    """First n rows of each best run's result file, then without blank references, with row rates (the rows' own if they have them).
 
     ``best`` has (lang, group, result_path), ``rows`` the scored files as (result_path, id,
     transcription, prediction and any of AUDIO_COLUMNS). Only the n rows per file are scored.
@@ -125,7 +125,7 @@ def detail(best: DataFrame, rows: DataFrame, n: int = K.REPORT_DETAIL_ROWS) -> D
     first = top_n(narrow, ["result_path"], [F.col("id")], n, ["result_path", "id"], rank="row_no")
     picked = join_rows(rows, staged(first, "first-rows"), ["result_path", "id"]).join(wanted, "result_path")
     shown = picked.where(T.normalize(F.col("transcription")) != "")
-    scored = row_rates(shown)
+    scored = shown if {"wer", "cer"} <= set(rows.columns) else row_rates(shown)
     audio = audio_path(scored, *AUDIO_COLUMNS)
     return scored.select(
         F.col("_g").alias("group"), F.col("_l").alias("lang"), "row_no", "id", "transcription",

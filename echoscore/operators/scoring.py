@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from echoscore.functions import metrics as M, text as T
 
@@ -34,6 +34,27 @@ def row_rates(df: DataFrame, strip_eot: bool = True, **columns: str) -> DataFram
     )
 
 
+def scored_rows(df: DataFrame, ref: str = "transcription", hyp: str = "prediction", word_sep: str = " ") -> DataFrame:
+    """Add COUNTS with the end mark kept, as runs are scored, and wer and cer with it removed, as rows are shown. All in one pass;
+    texts without the mark are compared once."""
+    texts = df.withColumn("_ref", T.normalize(F.col(ref))).withColumn("_hyp", T.normalize(F.col(hyp)))
+    texts = texts.withColumn("_bare", T.normalize(T.remove_end_mark(F.col(hyp))))
+    same = F.col("_bare") == F.col("_hyp")
+    counted = texts.withColumn("_kept", M.edit_counts(F.col("_ref"), F.col("_hyp"), word_sep))
+    # equal texts cost next to nothing
+    counted = counted.withColumn("_shown", M.edit_counts(F.col("_ref"), F.when(same, F.col("_ref")).otherwise(F.col("_bare")), word_sep))
+    scoreable = F.col("_ref") != ""
+
+    def shown(edits: str, length: str) -> Column:
+        found = M.rate(F.when(same, F.col(f"_kept.{edits}")).otherwise(F.col(f"_shown.{edits}")), F.col(f"_kept.{length}"))
+        return F.coalesce(F.when(scoreable, found), F.lit(0.0))
+
+    return counted.select(
+        *df.columns, *[F.when(scoreable, F.col(f"_kept.{c}")).alias(c) for c in COUNTS],
+        shown("word_edits", "ref_words").alias("wer"), shown("char_edits", "ref_chars").alias("cer"),
+    )
+
+
 def corpus_rates(df: DataFrame, keys: Sequence[str], strip_eot: bool = False, **columns: str) -> DataFrame:
     """wer and cer per run: all edits over all reference lengths, blank references left out.
 
@@ -42,7 +63,11 @@ def corpus_rates(df: DataFrame, keys: Sequence[str], strip_eot: bool = False, **
     """
     # blank references have NULL counts, which sums and counts skip; a filter on the counts would
     # make Spark run the counting a second time below it
-    counted = with_edit_counts(df, strip_eot, **columns)
+    return rates_of_counts(with_edit_counts(df, strip_eot, **columns), keys)
+
+
+def rates_of_counts(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``corpus_rates`` of rows that have COUNTS already."""
     sums = counted.groupBy(*keys).agg(
         F.count("ref_chars").alias("n_scored"), *[F.sum(c).alias(c) for c in COUNTS]
     ).where(F.col("n_scored") > 0)

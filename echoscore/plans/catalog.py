@@ -16,7 +16,7 @@ from echoscore.sources import sinks
 from echoscore.sources.readers import job_logs, response_lines, run_table as stored_runs, spread, summary_csv, table
 from echoscore.sources.schemas import CRITIQUE_FIELDS, RUN_SUMMARY_TEXT
 from echoscore.sources.stage import staged
-from echoscore.streaming import scoring as streaming
+from echoscore.streaming import completion, scoring as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -373,6 +373,20 @@ def stream_scores(spark, d):
     return _rounded(streaming.current_summary(spark, f"{base}/scores", expected), "wer", "cer")
 
 
+@query
+def run_completions(spark, d):
+    """Answers in two waves, a part and then all; the second replaces the first. Each run comes out when its last request is answered."""
+    base = shared_folder(spark, "completion")
+    expected = V.transcripts(spark, d).select("job_id", "gcs_uri", "id", "transcription")
+    lines = V.response_lines(spark, d)
+    for wave, some in ((1, (F.col("seq") == 1) & (F.col("id") % 2 == 0)), (2, F.col("seq") == 2)):
+        sinks.requests(lines.where(some), f"{base}/landing/wave={wave}", line_col="raw")
+        arriving = streaming.response_stream(spark, f"{base}/landing")
+        completion.start(arriving, expected, f"{base}/out", f"{base}/progress", available_now=True).awaitTermination()
+    done = completion.completed_runs(spark, f"{base}/out")
+    return _rounded(done.select("job_id", "n_expected", "n_answered", "n_scored", "wer", "cer"), "wer", "cer")
+
+
 @query
 def summary_files(spark, d):
     """The run summary written as CSV files and read back, whatever the metric columns hold."""
@@ -516,10 +530,12 @@ def render_prompt(spark, d):
 def rewrite_requests(spark, d):
     """Scored runs -> best per language -> worst cases of its training run -> one filled meta prompt."""
     t = V.transcripts(spark, d).withColumn("path", F.concat(F.lit("/results/evaluation_"), V.job_id(), F.lit(".csv")))
-    summary = scoring.corpus_rates(t, [*SETTING, "path"]).withColumnRenamed("path", "local_inference_csv_path")
+    rows = t.select(*SETTING, "path", "id", "transcription", "prediction", F.col("gcs_uri").alias("noisy_output_path"))
+    rows = evaluate.stored_scores(rows)
+    summary = scoring.rates_of_counts(rows, [*SETTING, "path"]).withColumnRenamed("path", "local_inference_csv_path")
     seq = F.conv(F.substring(F.md5("local_inference_csv_path"), 1, 15), 16, 10).cast("long")
     summary = staged(summary.withColumn("run_seq", seq), "summary")
-    rows = t.select("path", "id", "transcription", "prediction", F.col("gcs_uri").alias("noisy_output_path"))
+    rows = rows.select("path", "id", "transcription", "prediction", "noisy_output_path", "wer", "cer")
     key = F.col("n_regionkey")
     lang = F.when(key == 0, "en").when(key == 1, "fr").when(key == 2, "de").otherwise("none")
     name = F.col("n_name")
@@ -567,12 +583,13 @@ def report_flags(spark, d):
 def report_detail(spark, d):
     t = V.transcripts(spark, d)
     path = F.concat(F.lit("/results/evaluation_"), V.job_id(), F.lit(".csv"))
-    summary = scoring.corpus_rates(t, SETTING).withColumn("local_inference_csv_path", path).withColumn("run_seq", F.lit(0))
     moved = F.concat(F.lit("/archive/evaluation_"), V.job_id(), F.lit(".csv"))
-    rows = t.select(
-        F.when(F.col("lang") == "fr", moved).otherwise(path).alias("result_path"), "id", "transcription", "prediction",
+    rows = evaluate.stored_scores(t.select(
+        *SETTING, F.when(F.col("lang") == "fr", moved).otherwise(path).alias("result_path"), path.alias("path"), "id", "transcription", "prediction",
         F.col("gcs_uri").alias("file_path"),
-    )
+    ), "result_path")
+    summary = scoring.rates_of_counts(rows, [*SETTING, "path"]).withColumnRenamed("path", "local_inference_csv_path").withColumn("run_seq", F.lit(0))
+    rows = rows.select("result_path", "id", "transcription", "prediction", "file_path", "wer", "cer")
     listing = rows.select(F.col("result_path").alias("path")).distinct()
     best = report.dataset_sections(
         summary, listing.where(F.col("path").startswith("/results/")), listing.where(F.col("path").startswith("/archive/"))

@@ -21,8 +21,8 @@ def critic_request_table(
 ) -> DataFrame:
     """One critic prompt per latest training run.
 
-    ``rows`` are scored files as (path, id, transcription, prediction [, noisy_output_path]); runs
-    whose file is missing drop out. Relative paths of runs start at ``base``.
+    ``rows`` are result files as (path, id, transcription, prediction [, noisy_output_path]), best with their rates as
+    ``evaluate.stored_scores`` gives them; runs whose file is missing drop out. Relative paths of runs start at ``base``.
     """
     train = R.training_runs(runs).withColumn("path", _path(base))
     texts = _cases(train, rows, top_n)
@@ -30,9 +30,12 @@ def critic_request_table(
 
 
 def _cases(runs: DataFrame, rows: DataFrame, top_n: int) -> DataFrame:
-    texts = rows.join(runs.select(*RUN, "path"), "path")
     audio = "noisy_output_path" if "noisy_output_path" in rows.columns else None
-    return E.case_text(E.worst_cases(texts, RUN, top_n), RUN, audio)
+    if {"wer", "cer"} <= set(rows.columns):
+        worst = E.worst_stored(rows, runs, RUN, top_n)
+    else:
+        worst = E.worst_cases(rows.join(runs.select(*RUN, "path"), "path"), RUN, top_n)
+    return E.case_text(worst, RUN, audio)
 
 
 def rewrite_request_table(

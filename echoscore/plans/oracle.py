@@ -344,6 +344,11 @@ select job_id, count(*) as n_scored, round(sum(word_edits)::double / sum(ref_wor
   true as complete
 from scored where ref_chars is not null and "group" <> 'silence' group by job_id"""
 
+ORACLE["run_completions"] = CORPUS_SCORED + """
+select job_id, count(distinct gcs_uri) as n_expected, count(distinct gcs_uri) as n_answered, count(*) as n_scored,
+  round(sum(word_edits)::double / sum(ref_words)::double, 6) as wer, round(sum(char_edits)::double / sum(ref_chars)::double, 6) as cer
+from scored where ref_chars is not null and "group" <> 'silence' group by job_id"""
+
 _LOG = f"""with {RUNS}, log as (
   select run_seq, lang, "group", prompt_version, case when prompt_version is null
     then '/results/run_' || run_seq || case when "group" = 'silence' then '_prompt_v1_silence' else '' end || '.csv'

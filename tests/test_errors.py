@@ -140,3 +140,33 @@ def test_evaluate_critic_and_rewrite_end_to_end(spark, world):
     assert rewrites["en"].analysis_prompt.startswith("m1|default|Old prompt|## Case 1\nGround Truth: one two three 4\n")
     assert "## Critique 1\nError Pattern: pattern\n" in rewrites["en"].analysis_prompt
     assert rewrites["de"].analysis_prompt.endswith("CER: 1.00\n\n|" + K.PROMPT_BLOCK_REQUEST)
+
+
+def test_stored_scores_serve_summary_and_cases(spark):
+    """Scored once, with and without the end mark; joins by path and id do not move the table."""
+    from echoscore.operators import scoring
+    from echoscore.plans import evaluate
+
+    texts = [("one two three", "one two [EOT]"), ("four", "four"), ("...", "x"), (None, None), ("a b", ""), ("[EOT]", "[EOT]"), ("x y z", "x [EOT] z")]
+    rows = [(f"/p{p}", i * 10 + p, r, h) for p in range(3) for i, (r, h) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "path string, id long, transcription string, prediction string")
+    table = evaluate.stored_scores(df, buckets=4)
+    want = {r["id"]: (r["wer"], r["cer"]) for r in scoring.row_rates(df).collect()}
+    assert {r["id"]: (r["wer"], r["cer"]) for r in table.collect()} == want
+    whole = sorted(map(tuple, scoring.corpus_rates(df, ["path"]).collect()))
+    assert sorted(map(tuple, scoring.rates_of_counts(table, ["path"]).collect())) == whole
+    runs = spark.createDataFrame([(7, "/p0"), (8, "/p2"), (9, "/none")], "run_seq long, path string")
+    plain = errors.worst_cases(df.join(runs, "path"), ["run_seq"], 3)
+    columns = ["run_seq", "case_no", "id", "wer", "cer", "prediction"]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = errors.worst_stored(table, runs, ["run_seq"], 3)
+        assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, plain.select(*columns).collect()))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # one side of the join is dealt to the buckets, the table is read as it lies
+    assert "ArrowEvalPython" not in plan and "SelectedBucketsCount: 4 out of 4" in plan
+    final = plan.split("Initial Plan")[0]
+    assert final.count("Exchange hashpartitioning") == 1

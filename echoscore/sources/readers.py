@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from echoscore import constants as K
 from echoscore.functions.text import url_unquote
-from echoscore.sources import schemas as S
+from echoscore.sources import quoted, schemas as S
 
 
 #: Where a job stands in the logs: its written place, else by time, file and row of the scan.
@@ -56,13 +56,10 @@ def corpus(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 def csv_table(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
     """CSV with a header line, columns matched by position against ``schema``.
 
-    A byte-order mark is skipped by Spark; empty fields come back as NULL.
+    Quoted fields may hold line breaks; a file is still read by as many tasks as it has splits (``quoted``). A byte-order mark goes with
+    the header; empty fields come back as NULL.
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", True).option("multiLine", True).option("escape", '"')
-        .csv(paths)
-    )
+    return quoted.table(spark, paths, schema, _file_path())
 
 
 def summary_csv(spark: SparkSession, path: str, archive_path: str | None = None) -> DataFrame:

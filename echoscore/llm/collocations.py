@@ -40,7 +40,7 @@ LEAST = 10
 TOP = 2000
 #: Drop a phrase if a longer one has this percentage of its count.
 INSIDE = 50
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 BUCKETS = 64
 
 #: Bytes that end a piece, and those that end a word.

@@ -92,13 +92,13 @@ def critic_rows(answers: DataFrame, keys: Sequence[str], answer: str = "answer")
 def critiques_for_runs(runs: DataFrame, exact: DataFrame, general: DataFrame) -> DataFrame:
     """Critiques of each run: its own ones, else those of its language, else one empty row.
 
-    ``exact`` is keyed by SETTING, ``general`` by language. Runs with own critiques are joined
+    ``exact`` is keyed by SETTING, ``general`` by language; NULL keys equal NULL keys. Runs with own critiques are joined
     once; only the rest sees the per-language rows, so the two sources never have to be ranked.
     """
     fields = ["critique_no", *CRITIQUE_FIELDS]
-    own = runs.join(exact.select(*SETTING, *fields), list(SETTING)).withColumn("critic_source", F.lit("run"))
-    rest = runs.join(exact.select(*SETTING).distinct(), list(SETTING), "left_anti")
-    by_lang = rest.join(general.select("lang", *fields), "lang", "left").withColumn(
+    own = join_rows(runs, exact.select(*SETTING, *fields), SETTING).withColumn("critic_source", F.lit("run"))
+    rest = join_rows(runs, exact.select(*SETTING).distinct(), SETTING, "left_anti")
+    by_lang = join_rows(rest, general.select("lang", *fields), ["lang"], "left").withColumn(
         "critic_source", F.when(F.col("critique_no").isNull(), "none").otherwise("language")
     )
     return own.unionByName(by_lang)

@@ -50,6 +50,11 @@ def _mean_percent(c: str) -> Column:
     return F.when(F.max(F.isnan(c)), float("nan")).otherwise(mean)
 
 
+def _bar_label() -> Column:
+    version = F.coalesce(T.first_filled(F.col("prompt_version")), F.lit(K.DEFAULT_LABEL))
+    return F.concat(F.coalesce("model", F.lit("")), F.lit(" ("), F.coalesce("config", F.lit("")), F.lit(") ["), version, F.lit("]"))
+
+
 def chart(runs: DataFrame, lang: str = "all", group: str = "all") -> DataFrame:
     """Mean wer and cer in percent per setting of a view, the bar label and the best-bar flags.
 
@@ -61,12 +66,10 @@ def chart(runs: DataFrame, lang: str = "all", group: str = "all") -> DataFrame:
         .groupBy(*RUN_KEY)
         .agg(_mean_percent("wer").alias("avg_wer"), _mean_percent("cer").alias("avg_cer"))
     )
-    version = F.coalesce(T.first_filled(F.col("prompt_version")), F.lit(K.DEFAULT_LABEL))
-    shown = lambda c: F.coalesce(F.col(c), F.lit(""))
-    label = F.concat(shown("model"), F.lit(" ("), shown("config"), F.lit(") ["), version, F.lit("]"))
+    label = _bar_label()
     for column, wanted in (("lang", lang), ("group", group)):
         if wanted == "all":
-            label = F.concat(label, F.lit(" ["), shown(column), F.lit("]"))
+            label = F.concat(label, F.lit(" ["), F.coalesce(column, F.lit("")), F.lit("]"))
     lowest = bars.agg(
         F.struct(*[F.min(F.when(~F.isnan(c), F.col(c))).alias(c) for c in ("avg_wer", "avg_cer")])
     ).scalar()
@@ -77,6 +80,35 @@ def chart(runs: DataFrame, lang: str = "all", group: str = "all") -> DataFrame:
     )
 
 
+def chart_views(runs: DataFrame) -> DataFrame:
+    """The chart of every choice of the page's language and group filters: ``view_lang`` and ``view_group`` ('all' or one value), then the
+    columns of ``chart``.
+
+    Bars are made once. Their lowest rates come from one pass with grouping sets, whose id tells a view over all languages from the view
+    of the missing one.
+    """
+    bars = staged(
+        runs.groupBy(*RUN_KEY).agg(_mean_percent("wer").alias("avg_wer"), _mean_percent("cer").alias("avg_cer")), "bars"
+    )
+    least = [F.min(F.when(~F.isnan(c), F.col(c))).alias(f"_{c}") for c in ("avg_wer", "avg_cer")]
+    dims = ["lang", "group"]
+    lowest = bars.groupingSets([dims, ["lang"], ["group"], []], *dims).agg(F.grouping_id().cast("int").alias("_set"), *least)
+    lowest = lowest.select("_set", F.col("lang").alias("_lang"), F.col("group").alias("_group"), "_avg_wer", "_avg_cer")
+    shown = bars.withColumn("_set", F.explode(F.array(*[F.lit(i) for i in range(4)])))
+    # bit 2: over all languages, bit 1: over all groups
+    over = {"lang": F.col("_set") >= 2, "group": F.col("_set") % 2 == 1}
+    shown = shown.withColumns({f"_{c}": F.when(~over[c], F.col(c)) for c in dims})
+    joined = join_rows(shown, lowest, ["_set", "_lang", "_group"])
+    label = _bar_label()
+    for c in dims:
+        label = F.concat(label, F.when(over[c], F.concat(F.lit(" ["), F.coalesce(c, F.lit("")), F.lit("]"))).otherwise(""))
+    views = [F.when(over[c], F.lit("all")).otherwise(F.coalesce(c, F.lit(""))).alias(f"view_{c}") for c in dims]
+    return joined.select(
+        *views, *RUN_KEY, label.alias("label"), "avg_wer", "avg_cer",
+        (F.col("avg_wer") == F.col("_avg_wer")).alias("best_wer"), (F.col("avg_cer") == F.col("_avg_cer")).alias("best_cer"),
+    )
+
+
 def best_flags(runs: DataFrame, views: Sequence[str]) -> DataFrame:
     """Mark every run that has its view's lowest wer / cer; all ties are marked.
 

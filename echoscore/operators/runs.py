@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from echoscore import constants as K
 from echoscore.functions import text as T
-from echoscore.operators.ranking import first_row, last_row, low_first, text_key
+from echoscore.operators.ranking import first_row, join_rows, last_row, low_first, text_key
 
 RUN_KEY = ("lang", "group", "model", "config", "prompt_version")
 
@@ -89,19 +89,14 @@ def next_version(best: DataFrame, override: int | None = None) -> DataFrame:
 def train_run_of_best(best: DataFrame, runs: DataFrame) -> DataFrame:
     """Best run -> latest training run of the same language, model, config and prompt version.
 
-    Languages without such a run drop out. The version compares NULL with NULL as equal.
+    Languages without such a run drop out. NULL settings compare as equal.
     """
     settings = ("lang", "model", "config", "prompt_version")
     latest = latest_run(runs.where(F.col("group") == "train"), settings)
-    b, t = best.alias("b"), latest.alias("t")
-    same = [F.col(f"b.{c}") == F.col(f"t.{c}") for c in settings[:-1]]
-    same.append(F.col("b.prompt_version").eqNullSafe(F.col("t.prompt_version")))
-    return b.join(t, same).select(
-        *[F.col(f"b.{c}") for c in settings],
-        F.col("b.run_seq").alias("best_run_seq"), F.col("b.cer").alias("best_cer"), F.col("b.wer").alias("best_wer"),
-        F.col("t.run_seq").alias("train_run_seq"),
-        F.col("t.local_inference_csv_path").alias("local_inference_csv_path"),
-    )
+    train = latest.select(*settings, F.col("run_seq").alias("train_run_seq"), "local_inference_csv_path")
+    chosen = best.select(*settings, F.col("run_seq").alias("best_run_seq"), F.col("cer").alias("best_cer"), F.col("wer").alias("best_wer"))
+    return join_rows(chosen, train, settings).select(
+        *settings, "best_run_seq", "best_cer", "best_wer", "train_run_seq", "local_inference_csv_path")
 
 
 def pending_jobs(jobs: DataFrame, summary: DataFrame) -> DataFrame:

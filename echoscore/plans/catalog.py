@@ -10,7 +10,7 @@ from echoscore import constants as K
 from echoscore.functions import audio as A, responses as R, text as T
 from echoscore.operators import assets, errors, jobs, ranking, report, requests, responses, runs, samples, scoring, sync
 from echoscore.operators.indexing import chunked, sample_index
-from echoscore.plans import evaluate, improve, standins as V
+from echoscore.plans import evaluate, improve, predict, standins as V
 from echoscore.session import shared_folder
 from echoscore.sources import sinks
 from echoscore.sources.readers import job_logs, response_lines, run_table as stored_runs, spread, summary_csv, table
@@ -504,6 +504,19 @@ def critic_fallback(spark, d):
     return found.select("run_seq", "critic_source", "critique_no", "error_pattern", "affected_cases", "reason_for_failure", "generalizable_improvement")
 
 
+def _counted(prompts):
+    return "chars " + prompts.str.len().astype(str)
+
+
+@query
+def remembered_answers(spark, d):
+    """The users' texts are asked first, then all texts; the second run asks for those that the first did not have."""
+    memory = f"{shared_folder(spark, 'answers')}/memory"
+    asked = table(spark, d, "conversations").select("conv_id", "turn", "role", F.col("text").alias("prompt"))
+    predict.with_remembered_answers(asked.where("role = 'user'"), _counted, memory, "first")
+    return predict.with_remembered_answers(asked, _counted, memory, "second").select("conv_id", "turn", "answer", "asked_in")
+
+
 @query
 def prompt_fallback(spark, d):
     main, modified = V.prompt_folders(spark, d)
@@ -574,6 +587,11 @@ def report_chart(spark, d):
     return report.chart(_report_runs(spark, d), group="test")
 
 
+@query
+def report_views(spark, d):
+    return report.chart_views(_report_runs(spark, d))
+
+
 @query
 def report_flags(spark, d):
     return report.best_flags(_report_runs(spark, d).withColumn("group", F.when(F.col("group") != "silence", F.col("group"))), ["lang", "group"]).select(*RUN_OUT, "best_wer", "best_cer")

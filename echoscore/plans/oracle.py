@@ -509,6 +509,22 @@ ORACLE["report_chart"] = f"""with {RUNS}, bars as (
 select {SETTING}, model || ' (' || config || ') [' || coalesce(prompt_version, 'default') || '] [' || lang || ']' as label, avg_wer, avg_cer,
        avg_wer = min(avg_wer) over () as best_wer, avg_cer = min(avg_cer) over () as best_cer from bars"""
 
+ORACLE["report_views"] = f"""with {RUNS}, bars as (
+  select {SETTING}, {mean_percent('wer')} as avg_wer, {mean_percent('cer')} as avg_cer from report_runs group by {SETTING}),
+lowest as (
+  select grouping(lang, "group") as s, lang as l, "group" as g, min(avg_wer) as w, min(avg_cer) as c from bars
+  group by grouping sets ((lang, "group"), (lang), ("group"), ()))
+select case when s >= 2 then 'all' else lang end as view_lang, case when s % 2 = 1 then 'all' else "group" end as view_group, {SETTING},
+  model || ' (' || config || ') [' || coalesce(prompt_version, 'default') || ']' || case when s >= 2 then ' [' || lang || ']' else '' end
+    || case when s % 2 = 1 then ' [' || "group" || ']' else '' end as label,
+  avg_wer, avg_cer, avg_wer = w as best_wer, avg_cer = c as best_cer
+from bars join lowest on (s >= 2 or l = lang) and (s % 2 = 1 or g = "group")"""
+
+ORACLE["remembered_answers"] = """with asked as (select distinct text from conversations where role = 'user')
+select conv_id, turn, 'chars ' || length(c.text) as answer,
+  case when c.text is null then null when a.text is not null then 'first' else 'second' end as asked_in
+from conversations c left join asked a on a.text = c.text"""
+
 ORACLE["report_flags"] = f"""with {RUNS}, named as (select * replace (nullif("group", 'silence') as "group") from report_runs)
 select {RUN_OUT}, wer = min(wer) over (partition by lang, "group") as best_wer,
   cer = min(cer) over (partition by lang, "group") as best_cer from named"""

@@ -11,7 +11,7 @@ from echoscore.operators.indexing import chunked, sample_index
 from echoscore.operators.requests import chunk_prompts, classify_requests
 from echoscore.operators.responses import apply_chunk_labels, parse_chunk_labels
 from echoscore.functions import responses as R
-from echoscore.plans.predict import with_answers
+from echoscore.plans.predict import with_answers, with_remembered_answers
 
 
 def label_requests(samples: DataFrame) -> DataFrame:
@@ -26,9 +26,10 @@ def labelled_from_lines(samples: DataFrame, lines: DataFrame) -> DataFrame:
     return labelled.select(*samples.columns, "medical_yn")
 
 
-def labelled_by(samples: DataFrame, predict: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """Samples + medical_yn with the model called inside the job."""
+def labelled_by(samples: DataFrame, predict: Callable[[pd.Series], pd.Series], memory: str | None = None) -> DataFrame:
+    """Samples + medical_yn with the model called inside the job; with a ``memory`` folder, for prompts that it has not seen yet."""
     indexed = chunked(sample_index(samples))
-    answers = with_answers(chunk_prompts(indexed), predict)
+    prompts = chunk_prompts(indexed)
+    answers = with_remembered_answers(prompts, predict, memory) if memory else with_answers(prompts, predict)
     labels = answers.select("chunk_idx", R.boolean_list(F.col("answer")).alias("labels"))
     return apply_chunk_labels(indexed, labels).select(*samples.columns, "medical_yn")

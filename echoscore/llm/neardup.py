@@ -9,8 +9,9 @@ empty, linked with nothing). Two documents are linked when 100 * intersection >=
    front enters lists, and values of a single class never do. Passages that many documents share are frequent and come
    last, so they enter for classes that consist of little else.
 3. A pair in a list is a candidate if the value's places allow a link of sets of these two sizes (``_within``). In every list all
-   classes meet the foremost one; what the links found so far do not connect meets pairwise. So each candidate pair is
-   compared or known to be connected, and a group of n near copies costs about n comparisons.
+   classes meet the foremost one. Classes of lists that the links found so far do not connect meet again in lists of their whole sets'
+   rarest values, whose places are exact bounds for any size: there pairs that are not connected yet are compared. So a group of n near copies
+   costs about n comparisons, and one of n documents with a large shared part below the threshold no more.
 4. A pair is dropped if its union sketch shows fewer than ``need`` common values, else its full sets are compared.
 
 For pairs of whole sets the places are bounds, so none is lost. With a larger set, the values that are not common
@@ -122,8 +123,7 @@ def _within(n: Column, other: Column, place: Column, whole: Column, sketch: int,
 
 
 def postings(classes: DataFrame, sketch: int = SKETCH, percent: int = PERCENT) -> DataFrame:
-    """(value, whole, place, before, node, n): the rarest values of each class among those of two classes or more,
-    and those of them that come before."""
+    """(value, whole, place, node, n): the rarest values of each class among those of two classes or more."""
     smallest = WHOLE + 1  # a set that may face a larger one than WHOLE has at least percent of this
     whole = F.when(F.col("n") <= WHOLE, F.struct(F.lit(True).alias("whole"), F.col("sketch").alias("values")))
     cut = F.when(F.col("n") * 100 >= smallest * percent, F.struct(F.lit(False).alias("whole"), F.slice("sketch", 1, sketch).alias("values")))
@@ -136,7 +136,27 @@ def postings(classes: DataFrame, sketch: int = SKETCH, percent: int = PERCENT) -
     front = F.when(F.col("whole"), F.floor(F.col("n") * (100 - percent) / 100)).otherwise(F.floor(_others(share, sketch))).cast("int") + 1 - alone
     fronts = own.where(front > 0).select("node", "n", "whole", alone.alias("alone"), F.slice("own", F.lit(1), front)["value"].alias("front"))
     placed = fronts.select("*", F.posexplode("front").alias("at", "value"))
-    return placed.select("value", "whole", (F.col("at") + F.col("alone")).alias("place"), F.slice("front", F.lit(1), F.col("at")).alias("before"), "node", "n")
+    return placed.select("value", "whole", (F.col("at") + F.col("alone")).alias("place"), "node", "n")
+
+
+def _full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, n, sketch) with the whole sets of the classes ``nodes``, from one text each."""
+    wanted = classes.join(nodes, "node", "left_semi").select("node", "source")
+    texts = docs.withColumn("source", _source(F.xxhash64("text"))).join(wanted.select("source").distinct(), "source", "left_semi")
+    sets = _profiles(texts, width, 0, True).withColumn("source", _source(F.col("text_hash")))
+    return sets.join(wanted, ["node", "source"], "left_semi").select("node", "n", "sketch").dropDuplicates(["node"])
+
+
+def exact_postings(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(value, place, node, n): as ``postings``, over whole sets of any size and rarity among these sets, so that places are bounds."""
+    values = sets.select("node", "n", F.explode("sketch").alias("value"))
+    counts = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    own = values.join(counts, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"))
+    alone = F.col("n").cast("int") - F.size("own")
+    front = F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1 - alone
+    fronts = own.where(front > 0).select("node", "n", alone.alias("alone"), F.slice("own", F.lit(1), front)["value"].alias("front"))
+    placed = fronts.select("node", "n", "alone", F.posexplode("front").alias("at", "value"))
+    return placed.select("value", F.lit(True).alias("whole"), (F.col("at") + F.col("alone")).alias("place"), "node", "n")
 
 
 def _candidates(x: str, y: str, sketch: int, percent: int) -> Column:
@@ -169,10 +189,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, profiles: D
     in_sketch = F.size(F.array_intersect(union, F.col("shared"))) >= need(sketch, percent)
     enough = F.when(F.col("cut") & (size >= sketch), in_sketch).otherwise(F.size("shared") * 100 >= size * percent)
     likely = staged(shared.where(enough).select("a", "b"), "likely")
-    wanted = classes.join(nodes(likely), "node", "left_semi").select("node", "source")
-    texts = docs.withColumn("source", _source(F.xxhash64("text"))).join(wanted.select("source").distinct(), "source", "left_semi")
-    sets = _profiles(texts, width, sketch, True).withColumn("source", _source(F.col("text_hash")))
-    sets = sets.join(wanted, ["node", "source"], "left_semi").select("node", "sketch").dropDuplicates(["node"])
+    sets = _full_sets(docs, classes, nodes(likely), width)
     both = likely.join(side(sets, "a", "sa"), "a").join(side(sets, "b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     checked = both.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
@@ -214,15 +231,18 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, sketch: in
     # Lists whose classes are not all connected yet.
     lists = _labelled(lists, labels)
     open_ = lists.groupBy(*key).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select(*key)
+    # Their whole sets meet by exact places: many documents that share somewhat less than the threshold do not meet, as
+    # what each has for itself fills its front.
+    waiting = staged(lists.join(open_, key, "left_semi").select("node").distinct(), "open")
+    exact = _labelled(exact_postings(_full_sets(docs, classes, waiting, width), percent), labels)
     # a step of this size class is at most the ratio two linked sets can have
     size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("int")
-    left = staged(lists.join(open_, key, "left_semi").withColumn("size_class", size_class), "open")
-    facing = F.struct("node", "n", "place", "before", "label", "size_class").alias("y")
+    left = staged(exact.withColumn("size_class", size_class), "fronts")
+    facing = F.struct("node", "n", "place", "label", "size_class").alias("y")
     to = left.select(*key, F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)).alias("size_class"), facing)
     more = left.join(to, [*key, "size_class"]).where(
         (F.col("label") != F.col("y.label")) & _candidates("", "y.", sketch, percent)
         & ((F.col("y.size_class") < F.col("size_class")) | (F.col("y.node") < F.col("node")))
-        & ~F.arrays_overlap("before", "y.before")  # a pair counts in the list of its rarest common value
     )
     more = more.select(F.least("node", "y.node").alias("a"), F.greatest("node", "y.node").alias("b")).distinct()
     late = staged(_verified(more, docs, classes, known, width, sketch, percent), "found")

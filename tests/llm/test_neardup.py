@@ -99,3 +99,25 @@ def test_components(spark):
     got = components.components(spark.createDataFrame(links, "a long, b long")).collect()
     assert len(got) == len(want) and {r["node"]: r["label"] for r in got} == want
     assert components.components(spark.createDataFrame(links[:2], "a long, b long")).count() == 0
+
+
+def test_documents_of_one_template_do_not_meet_pairwise(spark, monkeypatch):
+    """Sets of 400 shingles of which 355 are shared by all: 80 %, no links. Comparisons grow with the documents, not with their pairs."""
+    template = [f"t{i}" for i in range(359)]
+    compared = {}
+    for n in (60, 120, 240):
+        docs = spark.createDataFrame([(i, " ".join(template + [f"d{i}x{k}" for k in range(45)])) for i in range(n)], "doc_id long, text string")
+        counts = []
+
+        def counting(df, purpose, plain=neardup.staged):
+            out = plain(df, purpose)
+            if purpose == "pairs":
+                counts.append(out.count())
+            return out
+
+        with monkeypatch.context() as m:
+            m.setattr(neardup, "staged", counting)
+            found = neardup.near_duplicates(docs).collect()
+        assert len(found) == n and all(r["kept"] and r["n_shingles"] == 400 for r in found)
+        compared[n] = sum(counts)
+    assert all(c <= 3 * n for n, c in compared.items()), compared

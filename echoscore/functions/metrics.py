@@ -105,7 +105,7 @@ def _columns(long: Sequences, short: Sequences, width: int) -> np.ndarray:
     owner, place = short.places()
     keys = owner * alphabet + short.items
     at = keys if alphabet <= SMALL else np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    rows = np.full((int(short.lengths.max(initial=0)), count), len(known))
+    rows = np.full((int(short.lengths.max(initial=0)), count), len(known), np.int32)
     rows[place, owner] = np.where(known[at] == keys, at, len(known))
     one, top, full = np.uint64(1), np.uint64(63), ~np.uint64(0)
     up, down = np.full((width, count), full), np.zeros((width, count), np.uint64)

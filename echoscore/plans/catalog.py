@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from echoscore import constants as K
 from echoscore.functions import audio as A, responses as R, text as T
-from echoscore.operators import assets, errors, jobs, ranking, report, requests, responses, runs, samples, scoring, sync
+from echoscore.operators import assets, clips, errors, jobs, ranking, report, requests, responses, runs, samples, scoring, sync
 from echoscore.operators.indexing import chunked, sample_index
 from echoscore.plans import evaluate, improve, predict, standins as V
 from echoscore.session import shared_folder
@@ -681,6 +681,32 @@ def silence_insert(spark, d):
     )
 
 
+#: Samples per block where clips are kept in blocks; the clips here are short.
+CLIP_BLOCK = 24
+
+
+def _block_samples(df, *keys):
+    out = df.select(*keys, "block", F.posexplode("samples").alias("at", "sample"))
+    return out.select(*keys, (F.col("block") * CLIP_BLOCK + F.col("at")).cast("int").alias("pos"), F.round(F.col("sample").cast("double"), 4).alias("sample"))
+
+
+@query
+def noise_mix_blocks(spark, d):
+    """``noise_mix`` over clips in blocks."""
+    main, noise = V.main_clips(spark, d), V.noise_clips(spark, d)
+    picks = samples.pick_noise(main.select("id"), noise)
+    noise = clips.blocks(noise, "samples", CLIP_BLOCK, ("noise_id",))
+    return _block_samples(clips.mixed(clips.blocks(main, "main", CLIP_BLOCK), noise, picks, CLIP_BLOCK), "id")
+
+
+@query
+def silence_insert_blocks(spark, d):
+    """``silence_insert`` over clips in blocks."""
+    main = V.main_clips(spark, d)
+    places = main.select("id", F.explode(F.array(F.lit("front"), F.lit("middle"), F.lit("back"))).alias("position"))
+    return _block_samples(clips.with_silence(clips.blocks(main, "main", CLIP_BLOCK), places, SILENCE_SAMPLES, CLIP_BLOCK), "id", "position")
+
+
 # --- job states -----------------------------------------------------------------------------
 
 

@@ -578,6 +578,7 @@ ORACLE["silence_insert"] = f"""with {_CLIPS}, gap as (select list_transform(rang
   union all select id, 'middle', list_concat(list_concat(main[1:len(main) // 2], z), main[len(main) // 2 + 1:]) from clips, gap
   union all select id, 'back', list_concat(main, z) from clips, gap)
 select id, position, (generate_subscripts(c, 1) - 1)::int as pos, round(unnest(c)::double, 4) as sample from placed"""
+ORACLE["noise_mix_blocks"], ORACLE["silence_insert_blocks"] = ORACLE["noise_mix"], ORACLE["silence_insert"]
 
 # --- job states -----------------------------------------------------------------------------
 

@@ -34,9 +34,12 @@ ORDER = ("arrived", "file", "block", "row")
 SUMS = ("n_answered", "n_scored", *COUNTS)
 SHARD = "job_id string, shard int, n_expected long, " + ", ".join(f"{c} long" for c in SUMS) + ", stalled boolean"
 RUN = "job_id string, n_expected long, " + ", ".join(f"{c} long" for c in SUMS)
-# State is kept by RocksDB, changes alone go to the checkpoint.
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# State is kept by RocksDB, changes alone go to the checkpoint. All its instances on an executor share one bound of memory.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+}
 
 
 class Answers(StatefulProcessor):
@@ -137,13 +140,15 @@ def start(
         complete = runs.join(of_job, "job_id").where(F.col("n") == F.col("n_shards"))
         complete.select("job_id", "n_expected", *SUMS).write.mode("overwrite").parquet(f"{out}/runs/batch={number}")
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {key: spark.conf.get(key, None) for key in STATE}
+    for key, value in STATE.items():
+        spark.conf.set(key, value)
     try:
         writer = done.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if available_now else writer).start()
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def _shards(spark: SparkSession, out: str) -> DataFrame:

@@ -1,0 +1,74 @@
+"""Clips in blocks against the same clips as arrays."""
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from echoscore.functions import audio as A
+from echoscore.operators import clips
+
+
+def clip(rng, n, scale=0.5):
+    return [rng.uniform(-scale, scale) for _ in range(n)]
+
+
+def whole(rows, keys=("id",)):
+    """Blocks put together, in order; every block but the last is full."""
+    found = {}
+    for r in sorted(rows, key=lambda r: r["block"]):
+        found.setdefault(tuple(r[k] for k in keys), []).append((r["block"], r["samples"]))
+    assert all([b for b, _ in parts] == list(range(len(parts))) and len({len(s) for _, s in parts[:-1]}) <= 1 for parts in found.values())
+    return {k: [x for _, s in parts for x in s] for k, parts in found.items()}
+
+
+@pytest.mark.parametrize("size", [1, 5, 8, 1000])
+def test_mixing_equals_arrays(spark, size):
+    rng = random.Random(size)
+    noise = [(f"n{k}", clip(rng, k, 2.0)) for k in (1, 3, 5, 8, 13, 24, 31)] + [("silent", [0.0] * 9), ("none", []), ("nan", [0.1, math.nan])]
+    rows = [(i, clip(rng, rng.choice([1, 4, 5, 8, 16, 40, 63])), noise[i % len(noise)][0]) for i in range(40)] + [(99, [], "n3"), (98, [0.0, 0.0], "n3")]
+    n = spark.createDataFrame(noise, "noise_id string, samples array<float>")
+    m = spark.createDataFrame(rows, "id long, main array<float>, noise_id string")
+    got = whole(clips.mixed(clips.blocks(m, "main", size), clips.blocks(n, "samples", size, ("noise_id",)), m.select("id", "noise_id"), size).collect())
+    joined = m.join(n, "noise_id").withColumn("gain", A.noise_gain(F.col("main"), F.col("samples")))
+    want = joined.select("id", A.mix(F.col("main"), F.col("samples"), F.col("gain")).alias("x")).where("x is not null and size(x) > 0").collect()
+    assert got.keys() == {(r["id"],) for r in want} and len(got) > 20
+    assert all(got[r["id"],] == pytest.approx(r["x"], abs=1e-6) for r in want)
+
+
+@pytest.mark.parametrize("size, gap", [(1, 3), (5, 7), (8, 8), (16, 5), (7, 0)])
+def test_silence_equals_arrays(spark, size, gap):
+    rng = random.Random(size)
+    rows = [(i, clip(rng, n)) for i, n in enumerate([1, 2, 7, 8, 9, 16, 35])]
+    m = spark.createDataFrame(rows, "id long, main array<float>")
+    places = m.select("id", F.explode(F.array(*map(F.lit, ("front", "middle", "back")))).alias("position"))
+    got = whole(clips.with_silence(clips.blocks(m, "main", size), places, gap, size).collect(), ("id", "position"))
+    want = m.join(places, "id").select("id", "position", A.insert_silence(F.col("main"), gap, F.col("position")).alias("x")).collect()
+    assert got == {(r["id"], r["position"]): r["x"] for r in want}
+    with pytest.raises(Exception, match="unknown position"):
+        clips.with_silence(clips.blocks(m, "main", size), m.select("id", F.lit("top").alias("position")), gap, size).collect()
+
+
+def test_levels_equal_arrays(spark):
+    rng = random.Random(4)
+    m = spark.createDataFrame([(i, clip(rng, i + 1)) for i in range(20)] + [(50, [0.0] * 5), (51, [0.1, math.inf]), (52, [])], "id long, main array<float>")
+    got = {r["id"]: (r["dbfs"], r["usable"]) for r in (lambda v: clips.dbfs(v).join(v, "id"))(clips.levels(clips.blocks(m, "main", 4))).collect()}
+    for r in m.select("id", A.dbfs(F.col("main")).alias("d"), A.usable(F.col("main")).alias("u")).where("id < 52").collect():
+        assert got[r["id"]][1] == r["u"] and (got[r["id"]][0] == pytest.approx(r["d"]) if r["d"] is not None else got[r["id"]][0] is None)
+    assert 52 not in got
+
+
+def test_a_long_clip_never_stands_whole(spark):
+    """A minute at 44.1 kHz made, levelled, mixed and silenced as blocks of 256 KB; no row is larger."""
+    n = 60 * 44_100
+    size = clips.SIZE
+    count = -(-n // size)
+    length = F.least(F.lit(size), F.lit(n) - F.col("block") * size).cast("int")
+    samples = F.transform(F.sequence(F.lit(1), length), lambda j: (((j * 31 + F.col("block")) % 200 - 100) / 200).cast("float"))
+    main = spark.range(count).withColumnRenamed("id", "block").select(F.lit(1).cast("long").alias("id"), "block", samples.alias("samples"))
+    noise = main.where("block < 3").select(F.lit("n").alias("noise_id"), "block", "samples")
+    picks = spark.createDataFrame([(1, "n")], "id long, noise_id string")
+    out = clips.with_silence(clips.mixed(main, noise, picks), picks.select("id", F.lit("middle").alias("position")), 1000)
+    found = out.select("block", F.size("samples").alias("n")).collect()
+    assert sum(r["n"] for r in found) == n + 1000 and max(r["n"] for r in found) == size

@@ -8,15 +8,16 @@ with weights per type. Dynamic programming over (end, length, type) chooses boun
 Weights maximise the likelihood of a bounded sample: at most ``max_pieces`` pieces of some ``max_docs`` documents chosen by a
 hash of the id, segmented by the pattern matches; gradients come from the forward and backward sums of the same
 program. ``findings`` gives every text's spans: pattern matches always, and decoded entities that touch no match, with
-the same kinds. NULL and empty texts have none; rows are neither merged nor lost; whole texts are read, in
-time linear in their length. One pass, no shuffle, a model of fixed size.
+the same kinds. NULL and empty texts have none; rows are neither merged nor lost; whole texts are read. Time grows with their
+digits (up to 24 spans for each token near one: some two minutes for a MB of nothing but short numbers), memory by an entry per token.
+Other columns are not looked at; an empty table gives no rows. One pass, no shuffle, a model of fixed size.
 """
 
 from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind: string, start: int, end: int, base: boolean>>"
 MAX_DOCS, MAX_PIECES = 20_000, 300
 REACH, LONGEST = 160, 24
+#: First tokens whose spans are held at a time.
+TOKENS = 2048
 
 # The base patterns. Possessive runs and the look-behind change no match, they only keep long
 # digit runs linear: a match can only start where a run starts.
@@ -121,7 +124,7 @@ def features(span: str, left: str, right: str) -> list[int]:
             out.append(23 if all(len(g) < 4 and int(g) < 256 for g in span.split(".") if g) and re.fullmatch(r"[0-9]+(\.[0-9]+){3}", span) else 24)
         if 12 <= n <= 19:
             out.append(25 if luhn(digits) else 26)
-        if re.fullmatch(r"[0-9]+([\x20-]?[0-9]+)*", span):
+        if re.fullmatch(r"[0-9]+([\x20-][0-9]+)*", span):
             out.append(27)
     if span[0] == "+":
         out.append(28)
@@ -149,14 +152,15 @@ def features(span: str, left: str, right: str) -> list[int]:
 FEATURES = 41
 
 
-def segments(text: str, starts: np.ndarray) -> list[tuple[int, int, list[int]]]:
+def segments(text: str, starts: np.ndarray, first: int = 0, last: int | None = None) -> list[tuple[int, int, list[int]]]:
     """(first token, end token, features) of all spans that may be entities: of bounded length, holding a digit or
-    an @, and not ending in a blank."""
+    an @, and not ending in a blank. ``first`` and ``last`` bound the first tokens."""
     out = []
     n = len(starts) - 1
-    kind = [text[s] for s in starts[:-1]]
-    anchor = np.cumsum([0] + [c == "@" or "0" <= c <= "9" for c in kind])
-    for i in range(n):
+    last = n if last is None else last
+    kind = {i: text[starts[i]] for i in range(first, min(n, last + LONGEST))}
+    anchor = dict(zip(range(first, first + len(kind) + 1), np.cumsum([0] + [c == "@" or "0" <= c <= "9" for c in kind.values()]).tolist()))
+    for i in range(first, last):
         if not (_alnum(kind[i]) or kind[i] in "+("):
             continue
         if anchor[min(n, i + LONGEST)] == anchor[i]:
@@ -176,24 +180,40 @@ def _scores(found: list[tuple[int, int, list[int]]], weights: np.ndarray) -> np.
 
 def decode(found: list[tuple[int, int, list[int]]], n: int, weights: np.ndarray) -> list[tuple[int, int, int]]:
     """The best segmentation's entities as (first token, end token, kind); tokens outside score 0."""
-    scores = _scores(found, weights)
-    kind, best_of = scores.argmax(1) if len(found) else [], scores.max(1) if len(found) else []
-    ends: dict[int, list[int]] = {}
-    for s, (_, j, _) in enumerate(found):
-        if best_of[s] > 0:  # a span below 0 loses to its tokens outside
-            ends.setdefault(j, []).append(s)
-    best, choice = [0.0] * (n + 1), [-1] * (n + 1)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for s in ends.get(j, ()):
-            value = best[found[s][0]] + best_of[s]
-            if value > best[j]:
-                best[j], choice[j] = value, s
+    return _decoded([(n, found)], n, weights)
+
+
+def decode_text(text: str, starts: np.ndarray, weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """``decode`` of all spans of a text, which are made for ``TOKENS`` first tokens at a time."""
+    n = len(starts) - 1
+    lasts = [min(n, first + TOKENS) for first in range(0, n, TOKENS)]
+    return _decoded(((last, segments(text, starts, first, last)) for first, last in zip(range(0, n, TOKENS), lasts)), n, weights)
+
+
+def _decoded(parts: Iterable[tuple[int, list[tuple[int, int, list[int]]]]], n: int, weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """``parts``: spans by first token, each part up to a token. They are scored part by part and go into the table where they end; only those
+    above 0 stay until then, as a span below 0 loses to its tokens outside. So beside the table, an entry per token, nothing grows with the text."""
+    best, begin, kind = np.zeros(n + 1), np.full(n + 1, -1, np.int32), np.zeros(n + 1, np.int8)
+    waiting: dict[int, list[tuple[int, float, int]]] = {}
+    done = 0
+    for last, found in parts:
+        if found:
+            scores = _scores(found, weights)
+            top, which = scores.max(1), scores.argmax(1)
+            for s in np.flatnonzero(top > 0).tolist():
+                waiting.setdefault(found[s][1], []).append((found[s][0], float(top[s]), int(which[s])))
+        # spans that begin later end later
+        for j in range(done + 1, last + 1):
+            best[j] = best[j - 1]
+            for i, score, k in waiting.pop(j, ()):
+                if best[i] + score > best[j]:
+                    best[j], begin[j], kind[j] = best[i] + score, i, k
+        done = last
     out, j = [], n
     while j > 0:
-        if choice[j] >= 0:
-            out.append((found[choice[j]][0], j, int(kind[choice[j]])))
-            j = found[choice[j]][0]
+        if begin[j] >= 0:
+            out.append((int(begin[j]), j, int(kind[j])))
+            j = int(begin[j])
         else:
             j -= 1
     return out[::-1]
@@ -289,11 +309,16 @@ def text_spans(text: str, weights: np.ndarray) -> list[tuple[str, int, int, bool
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
     out = [(*s, True) for s in base]
+    at, reached = 0, 0
     for a, b in pieces(text):
         starts = _tokens(text, a, b)
-        for i, j, k in decode(segments(text, starts), len(starts) - 1, weights):
+        for i, j, k in decode_text(text, starts, weights):
             s, e = int(starts[i]), int(starts[j])
-            if not any(x < e and y > s for x, y in taken):
+            # base spans of different kinds may overlap, so the furthest end so far decides
+            while at < len(taken) and taken[at][0] < e:
+                reached = max(reached, taken[at][1])
+                at += 1
+            if reached <= s:
                 out.append((KINDS[k], s, e, False))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

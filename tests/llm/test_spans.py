@@ -199,3 +199,25 @@ def test_pii_findings_rows(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(1, ""), (2, ""), (3, "email:2:10,ip:11:18"), (3, "email:2:10,ip:11:18"), (None, "card:0:19"), (4, ""), (5, "")], key=str)
     assert docs.limit(0).select(pii.findings(spark, weights)).count() == 0
     assert pii.fit(docs.select(F.col("doc_id").alias("id"), "text").limit(0)).shape == (4, pii.FEATURES)
+
+
+def test_long_numeric_texts_are_decoded_in_parts(monkeypatch):
+    import tracemalloc
+
+    rng = random.Random(5)
+    text = " ".join(rng.choice(["12", "10.1.2.3", "+49 170 1234567", "a@b.cd", "4111 1111 1111 1111", "7", "of", "555-1234", "\n"]) for _ in range(400))
+    weights = np.random.default_rng(3).normal(0, 1, (len(pii.KINDS), pii.FEATURES))
+    starts = pii._tokens(text, 0, len(text))
+    whole = pii.decode(pii.segments(text, starts), len(starts) - 1, weights)
+    for size in (1, 7, 2048):
+        monkeypatch.setattr(pii, "TOKENS", size)
+        assert pii.decode_text(text, starts, weights) == whole and len(whole) > 20
+    monkeypatch.setattr(pii, "TOKENS", 256)
+    tracemalloc.start()
+    spans = pii.text_spans(text, weights)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6e6 and spans == sorted(spans, key=lambda s: (s[1], pii.KINDS.index(s[0]), s[2]))
+    base = [s[:3] for s in spans if s[3]]
+    assert base == sorted(pii.base_spans(text), key=lambda s: (s[1], pii.KINDS.index(s[0])))
+    assert not any(x < e and y > s for _, s, e, own in spans if not own for _, x, y in base)

@@ -237,7 +237,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, sketch: in
     exact = _labelled(exact_postings(_full_sets(docs, classes, waiting, width), percent), labels)
     # a step of this size class is at most the ratio two linked sets can have
     size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("int")
-    left = staged(exact.withColumn("size_class", size_class), "fronts")
+    exact = staged(exact.withColumn("size_class", size_class), "fronts")
+    apart = exact.groupBy(*key).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select(*key)
+    left = exact.join(apart, key, "left_semi")
     facing = F.struct("node", "n", "place", "label", "size_class").alias("y")
     to = left.select(*key, F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)).alias("size_class"), facing)
     more = left.join(to, [*key, "size_class"]).where(

@@ -3,9 +3,11 @@ import os
 import random
 import subprocess
 import sys
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from echoscore.functions import metrics
 from echoscore.functions.metrics import edit_distance
@@ -77,6 +79,36 @@ def test_counts_of_texts_of_all_kinds():
     assert metrics.count_edits([], []).shape == (0, 4)
 
 
+def test_memory_does_not_grow_with_the_batch(monkeypatch):
+    monkeypatch.setattr(metrics, "SLICE", 1 << 14, raising=False)
+    rng = random.Random(2)
+    refs = [" ".join(str(rng.randint(0, 999)) for _ in range(rng.randint(20, 40))) for _ in range(4000)]
+    hyps = [r.replace("1", "x") for r in refs]
+
+    def peak(n):
+        a, b = refs[:n], hyps[:n]
+        tracemalloc.start()
+        metrics.count_edits(a, b)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(4000) < 1.5 * peak(500)
+
+
+@pytest.mark.parametrize("size", [1, 100, 5000])
+def test_slices_of_a_batch_have_the_single_counts(spark, monkeypatch, size):
+    monkeypatch.setattr(metrics, "SLICE", size, raising=False)
+    rng = random.Random(3)
+    refs = ["", "", "é 世 𝒳", *(" ".join(rng.choice(["the", "cat", "世界", "é", "𝒳y"]) for _ in range(rng.choice([1, 5, 30]))) for _ in range(90)), "x" * 6000]
+    hyps = ["", "new", "é 世", *(r.replace("cat", "the cat")[rng.randint(0, 3) :] for r in refs[3:])]
+    expected = [(edit_distance(*(metrics._split_words(t, " ") for t in p)), len(metrics._split_words(p[0], " ")), edit_distance(*p), len(p[0])) for p in zip(refs, hyps)]
+    assert [*map(tuple, metrics.count_edits(refs, hyps).tolist())] == expected
+    df = spark.createDataFrame([*zip(range(len(refs)), refs, hyps)], "id long, ref string, hyp string").coalesce(1)
+    got = df.select("id", metrics.edit_counts(F.col("ref"), F.col("hyp")).alias("c")).select("id", "c.*").orderBy("id").collect()
+    assert [tuple(r)[1:] for r in got] == expected
+
+
 ROWS = [
     # id, transcription, prediction, (word edits, ref words, char edits, ref chars) with the mark removed
     (1, "Hello, world!", "hello world", (0, 2, 0, 11)),
